@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import materialize
 
-def with_blocks(df: DataFrame, key: str, slot: Column, size: int, margin: int) -> DataFrame:
-    """Give each row its ``block`` and a copy for each neighbouring block whose margin it is in.
 
-    Adds ``block`` (int) and ``own`` (boolean; false for margin copies). A key with up to ``size``
-    rows is block 0. A larger one is cut along ``slot``, a coarse time: a new block begins with
-    the first slot after each ``size`` rows; whole slots with at least ``margin`` rows on either
-    side (all there are, if fewer) are copied to the neighbour. Rows are counted by key and slot
-    first, so a hot key gathers only its slots, whose number the calendar bounds. ``margin`` must
-    not exceed ``size``. Null slots sort first; null keys are one key.
+def hot_places(df: DataFrame, key: str, slot: Column, size: int, margin: int) -> DataFrame:
+    """Where the slots of keys with more than ``size`` rows go: ``(_key, _slot, _home, _blocks)``.
+
+    A key is cut along ``slot``, a coarse time: a new block begins with the first slot after each
+    ``size`` rows; whole slots with at least ``margin`` rows on either side (all there are, if
+    fewer) go to the neighbour too. Rows are counted by key and slot first, so a hot key gathers
+    only its slots, whose number the calendar bounds. ``margin`` must not exceed ``size``. Null
+    slots sort first; null keys are one key. The result has a row per slot of the hot keys and is
+    written once, so that its size is known where it is joined.
     """
-    named = df.withColumn("_slot", slot)
-    counts = named.groupBy(F.col(key).alias("_key"), "_slot").agg(F.count("*").alias("_n"))
+    counts = df.groupBy(F.col(key).alias("_key"), slot.alias("_slot")).agg(F.count("*").alias("_n"))
     along = Window.partitionBy("_key").orderBy("_slot")
     hot = (
         counts.withColumns({"_to": F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy("_key"))})
@@ -32,10 +33,14 @@ def with_blocks(df: DataFrame, key: str, slot: Column, size: int, margin: int) -
         F.when((F.col("_from") < F.col("_first") + margin) & (F.col("_home") > 0), F.col("_home") - 1),
         F.when(F.col("_to") > F.col("_last") - margin, F.col("_home") + 1),
     )
-    places = hot.select("_key", "_slot", F.col("_home"), F.array_compact(F.concat(F.array("_home"), near)).alias("_blocks"))
-    joined = named.join(places, F.col(key).eqNullSafe(F.col("_key")) & named["_slot"].eqNullSafe(places["_slot"]), "left")
-    return joined.select(
-        *[df[c] for c in df.columns],
-        F.coalesce("_home", F.lit(0)).alias("_home"),
-        F.explode(F.coalesce("_blocks", F.array(F.lit(0)))).alias("block"),
-    ).select(*df.columns, "block", (F.col("block") == F.col("_home")).alias("own"))
+    return materialize(hot.select("_key", "_slot", "_home", F.array_compact(F.concat(F.array("_home"), near)).alias("_blocks")))
+
+
+def in_blocks(df: DataFrame, places: DataFrame, key: str, slot: Column) -> DataFrame:
+    """Each row with its ``block``, and a copy (``own`` false) for each block whose margin it is in.
+
+    Rows of keys without places are in block 0.
+    """
+    joined = df.withColumn("_slot", slot).join(places.withColumnRenamed("_slot", "_at"), F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_at")), "left")
+    placed = joined.select(*df.columns, F.coalesce("_home", F.lit(0)).alias("_home"), F.explode(F.coalesce("_blocks", F.array(F.lit(0)))).alias("block"))
+    return placed.select(*df.columns, "block", (F.col("block") == F.col("_home")).alias("own"))

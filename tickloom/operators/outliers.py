@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import with_blocks
+from tickloom.operators.blocks import hot_places, in_blocks
+from tickloom.session import materialize
 
 #: Bins of the mergeable histograms: logarithms of absolute changes, ratios of successive changes.
 _CHANGE = np.arange(-20.0, 20.01, 0.1)
@@ -158,6 +159,15 @@ def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold:
                 taken[max(0, i - 3) : i + length[i] + 3] = True
 
 
+def _parameters(sizes: np.ndarray, ratios: np.ndarray, lengths: dict[int, int], limits: Limits) -> list[float]:
+    """Scale and coefficient of the autoregression and the least length of a stuck run; the scale is NaN with too few changes."""
+    if sizes.sum() < limits.least:
+        return [float("nan"), 0.0, float("inf")]
+    phi = float(np.clip(_median(ratios, _RATIO), -0.5, 0.5)) if ratios.sum() >= limits.least else 0.0
+    scale = 1.4826 * np.exp(_median(sizes, _CHANGE)) * np.sqrt(1 - phi * phi)
+    return [float(scale), phi, float(_longest_usual(lengths, limits))]
+
+
 def _judge(ts, value, own, measure: Measure, limits: Limits, given) -> np.ndarray:
     """For each row 0 or what is wrong: 1 impossible, 2 spike, 3 stuck. Rows are in order of ts."""
     kind = np.zeros(len(value), np.int8)
@@ -171,21 +181,14 @@ def _judge(ts, value, own, measure: Measure, limits: Limits, given) -> np.ndarra
     fresh = np.r_[True, (ts[order][1:] != ts[order][:-1]) | (value[order][1:] != value[order][:-1])]
     element = np.cumsum(fresh) - 1
     et, ev = ts[order][fresh], value[order][fresh]
-    if given is None:
-        sizes, ratios, lengths = _summary(ts[rows], value[rows], own[rows], value[rows] > 0)
-    else:
-        sizes, ratios, lengths = given
-    if sizes.sum() < limits.least:
+    scale, phi, least = given or _parameters(*_summary(ts[rows], value[rows], own[rows], value[rows] > 0), limits)
+    if np.isnan(scale):
         return kind
-    scale = 1.4826 * np.exp(_median(sizes, _CHANGE))
-    phi = float(np.clip(_median(ratios, _RATIO), -0.5, 0.5)) if ratios.sum() >= limits.least else 0.0
-    scale *= np.sqrt(1 - phi * phi)
     positive = np.flatnonzero(ev > 0)
     bad = np.zeros(len(ev), bool)
     bad[positive] = _spikes(et[positive], np.log(ev[positive]), scale, phi, measure.spike, limits.patch)
     kind[order[bad[element]]] = 2
     # runs over readings: a reading carries on the run if any of its rows has the value
-    least = _longest_usual(lengths, limits)
     if np.isfinite(least):
         last = np.r_[ts[rows][1:] != ts[rows][:-1], True]
         rt, rv = ts[rows][last], value[rows][last]
@@ -237,15 +240,15 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     names = [m.name for m in measures]
     rows = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(row).cast("bigint").alias("row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(n).cast("double").alias(n) for n in names])
     hour = F.floor(F.col("ts") / 3_600_000_000)
-    blocks = with_blocks(rows, "key", hour, limits.size, limits.margin)
+    places = hot_places(rows, "key", hour, limits.size, limits.margin)
     sort = ["key", "block", "ts", *[f"_o{i}" for i in range(len(order))], "row"]
-    spread = blocks.repartition("key", "block").sortWithinPartitions(*sort).select("key", "block", "ts", "row", "own", *names)
+    columns = ["key", "block", "ts", "row", "own", *names]
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            at, own, columns = _arrays(group, names)
+            at, own, values = _arrays(group, names)
             out: dict[str, list] = {"key": [], "measure": [], "what": [], "bin": [], "n": []}
-            for name, value, measure in zip(names, columns, measures):
+            for name, value, measure in zip(names, values, measures):
                 good = ~np.isnan(value) & ((value >= 0) if measure.zero else (value > 0))
                 sizes, ratios, lengths = _summary(at[good], value[good], own[good], value[good] > 0)
                 for what, pairs in (("size", enumerate(sizes)), ("ratio", enumerate(ratios)), ("run", lengths.items())):
@@ -255,38 +258,46 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
                                 column.append(x)
             yield pa.RecordBatch.from_pydict(out, schema=_SUMMARY)
 
-    # only sources in several blocks need the summaries of all of them
-    several = blocks.groupBy("key").agg(F.max("block").alias("blocks")).where("blocks > 0")
-    whole = (
-        spread.join(several.select("key"), "key", "left_semi").select(spread.columns).repartition("key", "block").sortWithinPartitions("key", "block", "ts", "row")
+    def parameters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for summary in batch.column(1).to_pylist():
+                given: list[float] = []
+                for name in names:
+                    sizes, ratios, lengths = np.zeros(len(_CHANGE) - 1), np.zeros(len(_RATIO) - 1), {}
+                    for x in summary:
+                        if x["measure"] == name and x["what"] == "run":
+                            lengths[x["bin"]] = x["n"]
+                        elif x["measure"] == name:
+                            (sizes if x["what"] == "size" else ratios)[x["bin"]] = x["n"]
+                    given += _parameters(sizes, ratios, lengths, limits)
+                out.append(given)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["_key", "given"])
+
+    # only keys in several blocks need the summaries of all of them; those have a bounded number of bins
+    hot = rows.join(places.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
+    given = materialize(
+        in_blocks(hot, places, "key", hour).repartition("key", "block").sortWithinPartitions(*sort).select(*columns)
         .mapInArrow(summaries, "key string, measure string, what string, bin bigint, n bigint")
         .groupBy("key", "measure", "what", "bin").agg(F.sum("n").alias("n"))
         .groupBy("key").agg(F.collect_list(F.struct("measure", "what", "bin", "n")).alias("summary"))
+        .mapInArrow(parameters, "_key string, given array<double>")
     )
-    judged = blocks.join(whole, "key", "left").repartition("key", "block").sortWithinPartitions(*sort).select("key", "block", "ts", "row", "own", *names, "summary")
+    blocks = in_blocks(rows, places, "key", hour).join(given, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            at, own, columns = _arrays(group, names)
+            at, own, values = _arrays(group, names)
             ids = group.column("row").to_numpy()
-            given = group.column("summary")[0].as_py()
-            for name, value, measure in zip(names, columns, measures):
-                merged = None
-                if given is not None:
-                    sizes, ratios, lengths = np.zeros(len(_CHANGE) - 1), np.zeros(len(_RATIO) - 1), {}
-                    for x in given:
-                        if x["measure"] == name:
-                            if x["what"] == "run":
-                                lengths[x["bin"]] = x["n"]
-                            else:
-                                (sizes if x["what"] == "size" else ratios)[x["bin"]] = x["n"]
-                    merged = sizes, ratios, lengths
-                kind = _judge(at, value, own, measure, limits, merged)
+            known = group.column("given")[0].as_py()
+            for k, (value, measure) in enumerate(zip(values, measures)):
+                kind = _judge(at, value, own, measure, limits, known and known[3 * k : 3 * k + 3])
                 bad = np.flatnonzero((kind > 0) & own)
                 if len(bad):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[bad]), pa.array([name] * len(bad)), pa.array([_KINDS[k] for k in kind[bad]])], schema=_FLAGS)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[bad]), pa.array([measure.name] * len(bad)), pa.array([_KINDS[k] for k in kind[bad]])], schema=_FLAGS)
 
-    return judged.mapInArrow(judge, "row bigint, measure string, kind string")
+    spread = blocks.repartition("key", "block").sortWithinPartitions(*sort).select(*columns, "given")
+    return spread.mapInArrow(judge, "row bigint, measure string, kind string")
 
 
 _KINDS = ["", "impossible", "spike", "stuck"]
