@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import materialize
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per ``keys``: the ``values`` of its last row by ``order`` (nulls first)."""
@@ -37,6 +39,7 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
     """
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     rows = daily.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_key"), number.alias("_day"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in measures])
+    rows = materialize(rows)  # read again for the spans and for each period
     spans = rows.groupBy("_key").agg(F.min("_day").alias("_from"), (F.max("_day") + tail).alias("_to"))
     out: DataFrame | None = None
     for w in periods:
