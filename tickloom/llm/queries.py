@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import skeleton
+from tickloom.llm import leakage, skeleton
 from tickloom.session import table
 
 
+def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and the items they give away, with the share of the passage, its pieces and where it begins."""
+    found = leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("held", 6).alias("held"), "pieces", "position")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_matches(spark, sf).select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return skeleton.lookalikes(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -17,5 +28,5 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     return skeleton.classes(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_classes": p9_classes}
+QUERIES = {"p8_found": p8_found, "p8_matches": p8_matches, "p9_found": p9_found, "p9_classes": p9_classes}
 ORACLE: dict[str, str] = {}
