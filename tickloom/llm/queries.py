@@ -2,11 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import leakage, skeleton
-from tickloom.session import table
+from tickloom.llm import leakage, packing, skeleton, survivors
+from tickloom.operators.bitemporal import near_periods
+from tickloom.plans.facts import APART, CONCEPT, same_concept
+from tickloom.session import materialize, table
+
+
+#: Fields of a fact that the surviving record takes from its rows.
+FIELDS = {"value": "value", "period_start": "start", "fiscal_year": "year", "form": "form"}
+#: Periodic reports come before all other forms.
+PERIODIC = ("10K", "10Q", "10KA", "10QA")
+
+
+def _form() -> Column:
+    return F.regexp_replace(F.upper("form"), "[^A-Z0-9]", "")
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "sec_facts").withColumn("concept", same_concept(F.col("concept")))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    valid = F.coalesce(F.col("filed") >= F.col("period_end"), F.lit(False))
+    trust = [F.when(_form().isin(*PERIODIC), 0).otherwise(1), F.when(valid, 0).otherwise(1), F.when(valid, -F.unix_date("filed")).otherwise(0)]
+    best = survivors.consolidate(_facts(spark, sf), ["cik", "concept"], "period_end", APART, "fact_id", list(FIELDS), trust)
+    return best.select("first_id", *[F.col(f"{f}_from").alias(f"{name}_from") for f, name in FIELDS.items()])
+
+
+#: Sources of facts for the inferred qualities: forms, and all others.
+SOURCES = ("10K", "10Q", "10KA", "10QA", "8K", "8KA", "6K", "")
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    facts = _facts(spark, sf).where("cik IS NOT NULL AND concept IS NOT NULL AND period_end IS NOT NULL")
+    periods = near_periods(facts.select("cik", "concept", "period_end").distinct(), ["cik", "concept"], "period_end", APART, "period")
+    form = F.coalesce(_form(), F.lit(""))
+    source = F.when(form.isin(*SOURCES), F.array_position(F.array(*map(F.lit, SOURCES)), form) - 1).otherwise(len(SOURCES) - 1)
+    named = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in ("value", "period_start", "fiscal_year")])
+    claims = facts.join(periods, ["cik", "concept", "period_end"]).withColumn("source", source).select("cik", "concept", "period", "source", F.inline(named))
+    return survivors.judge(claims, ["cik", "concept", "period"], F.col("source"), len(SOURCES))
+
+
+def p6_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value of a fact judged true by the inferred qualities of its sources."""
+    judged = _judged(spark, sf)[0].where("truth >= 0.5")
+    return judged.select("cik", "concept", F.date_format("period", "yyyy-MM-dd").alias("period"), "field", "value", "claims", F.round("truth", 4).alias("truth"))
+
+
+def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The inferred sensitivity and specificity of each kind of form."""
+    names = F.element_at(F.array(*map(F.lit, SOURCES)), F.col("source") + 1)
+    return _judged(spark, sf)[1].select("field", names.alias("form"), F.round("sensitivity", 4).alias("sensitivity"), F.round("specificity", 4).alias("specificity"))
+
+
+#: Tokens of a container, the context sizes below it, and containers of a step.
+CAPACITY, TIERS, STEP = 2048, (256, 512, 1024), 64
+
+
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages in containers of 2048 tokens, as pieces with their place."""
+    counts = materialize(packing.token_counts(table(spark, sf, "documents"), "doc_id", "text"))
+    packed = packing.pack(counts, CAPACITY, TIERS, STEP)
+    return packed.select(F.col("doc").alias("doc_id"), "piece", "n_tokens", F.col("container").alias("container_id"), "offset", F.col("step").alias("step_id"))
+
+
+def p7_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, pieces and tokens of each step, and how full its containers are."""
+    steps = p7_packing(spark, sf).where("container_id IS NOT NULL").groupBy("step_id", "container_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    return steps.groupBy("step_id").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 6).alias("filled"))
 
 
 def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,5 +94,24 @@ def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
     return skeleton.classes(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_matches": p8_matches, "p9_found": p9_found, "p9_classes": p9_classes}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_truth": p6_truth,
+    "p6_sources": p6_sources,
+    "p7_packing": p7_packing,
+    "p7_steps": p7_steps,
+    "p8_found": p8_found,
+    "p8_matches": p8_matches,
+    "p9_found": p9_found,
+    "p9_classes": p9_classes,
+}
+
+_BEST = """coalesce(first(fact_id ORDER BY {0} IS NULL, a, b, c, fact_id) FILTER (WHERE {0} IS NOT NULL), 0) AS {1}_from"""
+ORACLE: dict[str, str] = {
+    "p6_found": f"""WITH f AS (SELECT *, {CONCEPT} AS k, regexp_replace(upper(form), '[^A-Z0-9]', '', 'g') AS g, coalesce(filed >= period_end, false) AS ok
+ FROM sec_facts WHERE cik IS NOT NULL AND concept IS NOT NULL AND period_end IS NOT NULL),
+h AS (SELECT *, CASE WHEN g IN ('10K', '10Q', '10KA', '10QA') THEN 0 ELSE 1 END AS a, CASE WHEN ok THEN 0 ELSE 1 END AS b, CASE WHEN ok THEN DATE '1970-01-01' - filed ELSE 0 END AS c,
+ CASE WHEN period_end - lag(period_end) OVER w <= {APART} THEN 0 ELSE 1 END AS s FROM f WINDOW w AS (PARTITION BY cik, k ORDER BY period_end)),
+p AS (SELECT *, sum(s) OVER (PARTITION BY cik, k ORDER BY period_end) AS n FROM h)
+SELECT min(fact_id) AS first_id, {", ".join(_BEST.format(f, name) for f, name in FIELDS.items())} FROM p GROUP BY cik, k, n HAVING count(*) >= 2"""
+}
