@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from tickloom.functions.series import ColumnOrName, column, complete, number
+from tickloom.functions.series import ColumnOrName, column, complete, let, number
 
 Value = ColumnOrName | float
 # The rational approximation 7.1.26 of the error function by Abramowitz and Stegun.
@@ -31,9 +32,8 @@ def _polynomial(t):
 
 def norm_cdf(x: Column) -> Column:
     """Normal distribution function, 0 and 1 beyond six deviations."""
-    z = F.abs(x) / math.sqrt(2)
-    erf = 1 - _polynomial(1 / (1 + _SCALE * z)) * F.exp(-z * z)
-    return F.when(x > 6, 1.0).when(x < -6, 0.0).when(x < 0, 0.5 * (1 - erf)).otherwise(0.5 * (1 + erf))
+    erf = let(1 / (1 + _SCALE * F.abs(x) / math.sqrt(2)), lambda t: 1 - _polynomial(t) * F.exp(-x * x / 2))
+    return F.when(x > 6, 1.0).when(x < -6, 0.0).otherwise(0.5 * (1 + F.signum(x) * erf))
 
 
 def norm_pdf(x: Column) -> Column:
@@ -46,7 +46,7 @@ def _black_scholes(spot: Value, strike: Value, years: Value, rate: Value, sigma:
     # outside the domain the formula sees ones, which keeps divisions and logarithms sound
     s, k, t, v = (F.when(valid, x).otherwise(1.0) for x in (s, k, t, v))
     d1 = (F.ln(s / k) + (r + 0.5 * v * v) * t) / (v * F.sqrt(t))
-    return F.when(valid, formula(s, k, t, r, v, d1, d1 - v * F.sqrt(t)))
+    return F.when(valid, let(d1, lambda d: let(d - v * F.sqrt(t), lambda e: formula(s, k, t, r, v, d, e))))
 
 
 def bs_call(spot: Value, strike: Value, years: Value, rate: Value, sigma: Value) -> Column:
@@ -90,7 +90,7 @@ def _cdf(x: np.ndarray) -> np.ndarray:
     return np.where(x > 6, 1.0, np.where(x < -6, 0.0, 0.5 * (1 + np.where(x < 0, -erf, erf))))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
     p, s, k, t, r = (x.to_numpy(dtype=float, na_value=np.nan) for x in (price, spot, strike, years, rate))
     is_call = call.to_numpy(dtype=bool, na_value=False)
@@ -148,7 +148,7 @@ def _american(call: bool, spot, strike, years, rate, sigma, steps: int) -> Colum
     if steps <= 0:
         return F.lit(None).cast("double")
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def price(s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series(_tree(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (s, k, t, r, v)), steps, call))
 
@@ -205,7 +205,7 @@ def bond_convexity(face: Value, coupon: Value, ytm: Value, periods: Value, freq:
     return F.when(price > 0, total / price / (q * q))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _yield(price: pd.Series, face: pd.Series, coupon: pd.Series, periods: pd.Series, freq: pd.Series) -> pd.Series:
     p, f, c, n, q = (x.to_numpy(dtype=float, na_value=np.nan) for x in (price, face, coupon, periods, freq))
     out = np.full(len(p), np.nan)

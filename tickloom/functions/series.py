@@ -62,3 +62,8 @@ def fold(series: Column, start: dict[str, object], step: Callable[[Column, Colum
 
 def positive(n: int, default: int) -> int:
     return n if n > 0 else default
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
