@@ -144,15 +144,18 @@ def _tree(s, k, t, r, v, steps: int, call: bool) -> np.ndarray:
     return out
 
 
-def _american(call: bool, spot, strike, years, rate, sigma, steps: int) -> Column:
-    if steps <= 0:
-        return F.lit(None).cast("double")
-
+def _american_kernel(call: bool, steps: int):
     @pandas_udf(DoubleType())
     def price(s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series(_tree(*(x.to_numpy(dtype=float, na_value=np.nan) for x in (s, k, t, r, v)), steps, call))
 
-    return price(*map(number, (spot, strike, years, rate, sigma)))
+    return price
+
+
+def _american(call: bool, spot, strike, years, rate, sigma, steps: int) -> Column:
+    if steps <= 0:
+        return F.lit(None).cast("double")
+    return _american_kernel(call, steps)(*map(number, (spot, strike, years, rate, sigma)))
 
 
 def am_call(spot: Value, strike: Value, years: Value, rate: Value, sigma: Value, steps: int = 200) -> Column:
@@ -236,3 +239,8 @@ def _yield(price: pd.Series, face: pd.Series, coupon: pd.Series, periods: pd.Ser
 def bond_ytm(price: Value, face: Value, coupon: Value, periods: Value, freq: Value) -> Column:
     """Yearly yield at which the bond has the price, by Newton's method from the coupon rate."""
     return _yield(*map(number, (price, face, coupon, periods, freq)))
+
+
+def kernels() -> dict[str, Callable]:
+    """The functions that are no expressions, by their names in SQL; trees have 200 steps there."""
+    return {"bs_implied_vol": _implied_vol, "bond_ytm": _yield, "am_call": _american_kernel(True, 200), "am_put": _american_kernel(False, 200)}
