@@ -46,7 +46,7 @@ class Limits:
     patch: int = 3
     least: int = 10
     run: int = 5
-    rare: float = 0.06
+    rare: float = 1e-4
     longer: float = 1.5
     size: int = 20_000
     margin: int = 500
@@ -124,6 +124,12 @@ def _longest_usual(lengths: dict[int, int], limits: Limits) -> float:
     return least
 
 
+def _stands_out(y: np.ndarray, first: int, length: int, by: float) -> bool:
+    """Whether a patch departs from the middle of its wider neighbourhood too; a sound reading between two spikes does not."""
+    around = np.r_[y[max(0, first - 6) : first], y[first + length : first + length + 6]]
+    return abs(np.median(y[first : first + length]) - np.median(around)) > by / 2
+
+
 def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold: float, patch: int) -> np.ndarray:
     """Marks the additive outliers among the elements ``(ts, x)``."""
     marked = np.zeros(len(x), bool)
@@ -149,9 +155,10 @@ def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold:
             score[reading[k : k + m] - reading[1 : m + 1] >= patch] = 0
             better = score > best[1 : m + 1] * 1.0001
             best[1 : m + 1][better], length[1 : m + 1][better] = score[better], k
-        candidates = np.flatnonzero(best > threshold * scale)
-        if not len(candidates):
+        candidates = [i for i in np.flatnonzero(best > threshold * scale) if _stands_out(y, i, length[i], best[i])]
+        if not candidates:
             return marked
+        candidates = np.array(candidates)
         taken = np.full(n, False)
         for i in candidates[np.argsort(-best[candidates], kind="stable")]:
             if not taken[max(0, i - 3) : i + length[i] + 3].any():

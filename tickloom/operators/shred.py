@@ -43,7 +43,12 @@ def parse(text: str | None) -> object:
     return value
 
 
-def _nodes(document: object, add, keep: frozenset[str] | None) -> None:
+def document_nodes(text: str | None, keep: frozenset[str] | None) -> list[tuple]:
+    """The nodes ``(node, parent, label, ordinal, kind, scalar)`` of the document in ``text``."""
+    document = parse(text)
+    if document is _MISSING:
+        return []
+    out: list[tuple] = []
     count = 0
     # (value, parent node, label, ordinal); a list entry that is a list keeps its own node
     stack = [(x, None, ROOT, i) for i, x in reversed(list(enumerate(document)))] if isinstance(document, list) else [(document, None, ROOT, 0)]
@@ -70,7 +75,8 @@ def _nodes(document: object, add, keep: frozenset[str] | None) -> None:
             kind, scalar = "boolean", "true" if value else "false"
         else:
             kind, scalar = "scalar", str(value)
-        add(node, parent, label, ordinal, kind, scalar)
+        out.append((node, parent, label, ordinal, kind, scalar))
+    return out
 
 
 def shred(df: DataFrame, doc: str, text: str, labels: Iterable[str] | None = None) -> DataFrame:
@@ -95,10 +101,7 @@ def shred(df: DataFrame, doc: str, text: str, labels: Iterable[str] | None = Non
 
         for batch in batches:
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if key is None or (document := parse(content)) is _MISSING:
-                    continue
-                rows: list[tuple] = []
-                _nodes(document, lambda *row: rows.append(row), keep)
+                rows = document_nodes(content, keep) if key is not None else []
                 if not rows:
                     continue
                 for column, x in zip(out, zip(*[(key, *row) for row in rows])):
