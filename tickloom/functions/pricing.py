@@ -131,15 +131,16 @@ def _tree(s, k, t, r, v, steps: int, call: bool) -> np.ndarray:
         u = np.exp(v * np.sqrt(dt))
         p = (np.exp(r * dt) - 1 / u) / (u - 1 / u)
         rows = np.flatnonzero((s > 0) & (k > 0) & (t > 0) & (v > 0) & (p > 0) & (p < 1))
-    powers = np.arange(steps, -steps - 1, -2)
+    powers = np.arange(steps, -steps - 1, -1)
     sign = 1.0 if call else -1.0
-    for some in np.array_split(rows, max(1, len(rows) * steps // 1_000_000)):
-        a, b = s[some, None], k[some, None]
-        up, q, discount = u[some, None], p[some, None], np.exp(-r[some] * dt[some])[:, None]
-        value = np.maximum(sign * (a * up**powers - b), 0)
+    for some in np.array_split(rows, max(1, len(rows) * steps // 200_000)):
+        # gains from exercise at every price of the tree, by the number of moves upwards
+        gain = sign * (s[some, None] * u[some, None] ** powers - k[some, None])
+        discount = np.exp(-r[some] * dt[some])
+        up, down = (discount * p[some])[:, None], (discount * (1 - p[some]))[:, None]
+        value = np.maximum(gain[:, ::2], 0)
         for n in range(steps - 1, -1, -1):
-            held = discount * (q * value[:, :-1] + (1 - q) * value[:, 1:])
-            value = np.maximum(held, sign * (a * up ** np.arange(n, -n - 1, -2) - b))
+            value = np.maximum(up * value[:, :-1] + down * value[:, 1:], gain[:, steps - n : steps + n + 1 : 2])
         out[some] = value[:, 0]
     return out
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.trend import ema
+from tickloom.functions import closed
 from tickloom.plans.views import ticks
 from tickloom.registry import read, register
 from tickloom.session import shared_folder, table
@@ -49,7 +49,7 @@ def stream_ema(spark: SparkSession, sf: str) -> DataFrame:
 
 def tick_ema(spark: SparkSession, sf: str) -> DataFrame:
     """EMA(20) of the values of each event type, and their number."""
-    return ticks(spark, sf).groupBy("symbol").agg(F.round(ema("price", "ts", 20), 6).alias("ema"), F.count("*").alias("n"))
+    return closed.prepare(ticks(spark, sf), ["symbol"], "ts", ["price"]).groupBy("symbol").agg(F.round(closed.ema("price", 20), 6).alias("ema"), F.count("*").alias("n"))
 
 
 QUERIES = {f"source_{name}": _source(name) for name in SAMPLES} | {"stream_ohlc": stream_ohlc, "stream_ema": stream_ema, "tick_ema": tick_ema}
