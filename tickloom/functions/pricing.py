@@ -178,7 +178,7 @@ def _flows(face: Value, coupon: Value, ytm: Value, periods: Value, freq: Value,
     base = 1 + y / q
     flow = f * c / q
     steps = F.sequence(F.lit(1), F.when(valid, n))
-    total = F.aggregate(steps, F.lit(0.0), lambda a, t: a + term(t.cast("double"), flow + F.when(t == n, f).otherwise(0.0)))
+    total = F.aggregate(steps, F.lit(0.0).cast("double"), lambda a, t: a + term(t.cast("double"), flow + F.when(t == n, f).otherwise(0.0)))
     return complete(total, f, c, y), base, q
 
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import ColumnOrName, fold, ordered
+from tickloom.functions.series import ColumnOrName, fold, let, ordered
 
 
 def _rescaled_range(chunk: Column) -> Column:
+    return let(F.struct(chunk.alias("c"), (_sum(chunk) / F.size(chunk)).alias("m")), lambda x: _range_by_deviation(x["c"], x["m"]))
+
+
+def _range_by_deviation(chunk: Column, mean: Column) -> Column:
     n = F.size(chunk).cast("double")
-    mean = F.aggregate(chunk, F.lit(0.0), lambda a, v: a + v) / n
-    start = F.struct(F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0.0).alias("s"))
+    zero, none = F.lit(0.0).cast("double"), F.lit(None).cast("double")
+    start = F.struct(zero.alias("y"), none.alias("lo"), none.alias("hi"), zero.alias("s"))
 
     def step(a: Column, v: Column) -> Column:
         y = a["y"] + v - mean
@@ -25,23 +29,33 @@ def hurst_exponent(value: ColumnOrName, ts: ColumnOrName, over: WindowSpec | Non
 
     Null unless chunks of at least three lengths fit twice, that is below 64 rows, or have variance.
     """
-    values = F.transform(ordered(ts, over, v=value), lambda x: x["v"])
+    return let(F.transform(ordered(ts, over, v=value), lambda x: x["v"]), lambda values: F.when(F.size(values) >= 64, _hurst(values)))
+
+
+def _hurst(values: Column) -> Column:
     n = F.size(values)
-    powers = F.sequence(F.lit(3), F.greatest(F.lit(3), F.floor(F.log2(F.greatest(n, F.lit(1)) + 0.5)).cast("int") - 1))
+    powers = F.sequence(F.lit(3), F.floor(F.log2(n + 0.5)).cast("int") - 1)
 
     def point(k: Column) -> Column:
         size = F.pow(F.lit(2.0), k).cast("int")
         chunks = F.transform(F.sequence(F.lit(0), F.floor(n / size).cast("int") - 1), lambda c: _rescaled_range(F.slice(values, c * size + 1, size)))
-        good = F.filter(chunks, lambda r: r.isNotNull())
-        mean = F.try_divide(F.aggregate(good, F.lit(0.0), lambda a, r: a + r), F.size(good).cast("double"))
+        mean = let(F.array_compact(chunks), lambda r: F.try_divide(_sum(r), F.size(r).cast("double")))
         return F.struct(F.ln(size.cast("double")).alias("x"), F.ln(mean).alias("y"))
 
-    points = F.filter(F.transform(powers, point), lambda p: p["y"].isNotNull())
-    m = F.size(points).cast("double")
-    total = lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + f(p))
-    sx, sy = total(lambda p: p["x"]), total(lambda p: p["y"])
-    slope = F.try_divide(m * total(lambda p: p["x"] * p["y"]) - sx * sy, m * total(lambda p: p["x"] * p["x"]) - sx * sx)
-    return F.when(n >= 64, F.when(m >= 3, slope))
+    return let(F.filter(F.transform(powers, point), lambda p: p["y"].isNotNull()), _slope)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0).cast("double"), lambda a, v: a + v)
+
+
+def _slope(points: Column) -> Column:
+    """Slope of the least squares through at least three points."""
+    n = F.size(points).cast("double")
+    start = F.struct(*[F.lit(0.0).cast("double").alias(k) for k in ("x", "y", "xx", "xy")])
+    add = lambda a, p: F.struct((a["x"] + p["x"]).alias("x"), (a["y"] + p["y"]).alias("y"), (a["xx"] + p["x"] * p["x"]).alias("xx"), (a["xy"] + p["x"] * p["y"]).alias("xy"))
+    slope = F.aggregate(points, start, add, lambda a: F.try_divide(n * a["xy"] - a["x"] * a["y"], n * a["xx"] - a["x"] * a["x"]))
+    return F.when(n >= 3, slope)
 
 
 def adf_test_stat(value: ColumnOrName, ts: ColumnOrName, over: WindowSpec | None = None) -> Column:

@@ -59,7 +59,7 @@ macd = macd_line
 def _band(value, ts, period, over, finish) -> Column:
     last = tail(ordered(ts, over, v=value), positive(period, 20))
     mean = fold(last, {"n": 0, "s": 0}, lambda a, x: {"n": a["n"] + 1, "s": a["s"] + x["v"]}, lambda a: a["s"] / a["n"])
-    square = F.aggregate(last, F.lit(0.0), lambda a, x: a + (x["v"] - mean) * (x["v"] - mean))
+    square = F.aggregate(last, F.lit(0.0).cast("double"), lambda a, x: a + (x["v"] - mean) * (x["v"] - mean))
     return finish(mean, F.sqrt(F.try_divide(square, F.size(last).cast("double"))))
 
 
