@@ -57,7 +57,7 @@ class Matching:
     gap: int = 80
     hole: int = 8
     least: float = 0.07
-    most: int = 2_000_000
+    most: int = 500_000
 
 
 class _Passages:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import materialize
+
 # Letters of other scripts and the Latin letters they look like.
 _CYRILLIC = ("АВЕКМНОРСТУХЅІЈЗԚԜаеорсухѕіјһԛԝԁӏѵ", "ABEKMHOPCTYXSIJЗQWaeopcyxsijhqwdlv")
 _GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳν", "ABEZHIKMNOPTYXojv")
@@ -73,7 +75,7 @@ def with_skeletons(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 def classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     """One row per text: ``(doc, class_id, variants)``, the least id that looks the same and the number of different strings there."""
-    forms = with_skeletons(df, doc, text)
+    forms = materialize(with_skeletons(df, doc, text))
     groups = forms.groupBy("form", "original").agg(F.min("doc").alias("first")).groupBy("form").agg(F.min("first").alias("class_id"), F.count("*").alias("variants"))
     return forms.join(groups, "form").select("doc", "class_id", "variants")
 
@@ -81,11 +83,11 @@ def classes(df: DataFrame, doc: str, text: str) -> DataFrame:
 def lookalikes(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Pairs ``(doc_a, doc_b)``, ``doc_a < doc_b``, of rows whose texts look the same but differ.
 
-    Only rows whose skeleton is written in more than one way are joined; whether it is comes from
+    The digests are written once. Only rows whose skeleton is written in more than one way are joined; whether it is comes from
     the least and greatest digest of its originals, aggregated before the shuffle. Equal texts,
     nulls and a repeated id make no pair.
     """
-    forms = with_skeletons(df, doc, text)
+    forms = materialize(with_skeletons(df, doc, text))
     several = forms.groupBy("form").agg(F.min("original").alias("a"), F.max("original").alias("b")).where("a <> b").select("form")
     rows = forms.join(several, "form", "left_semi")
     left, right = rows.alias("l"), rows.alias("r")
