@@ -82,6 +82,8 @@ def document_nodes(text: str | None, keep: frozenset[str] | None) -> list[tuple]
 def shred(df: DataFrame, doc: str, text: str, labels: Iterable[str] | None = None) -> DataFrame:
     """The adjacency table of the JSON documents in column ``text``, keyed by the bigint ``doc``.
 
+    Store the result where it is used more than once: labels are then read by pushed filters.
+
     ``labels`` names the keys of interest: other keys are left out with all below them. Numbers
     stay as they are written. One pass without a shuffle; a document is handled by itself, so no
     key gathers rows of others. A null, empty or incomplete text gives no node, as does a null

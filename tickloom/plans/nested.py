@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.shred import ROOT, children, entities, objects, shred
-from tickloom.session import table
+from tickloom.session import materialize, table
 
 QUOTE_FIELDS = {"open": "double", "high": "double", "low": "double", "close": "double", "volume": "bigint"}
 LOG_FIELDS = {"address": "string", "data": "string", "logIndex": "string", "removed": "boolean"}
@@ -24,10 +24,10 @@ def _holders(nodes: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    chart = shred(table(spark, sf, "yahoo_chart"), "response_id", "indicators", ["quote", "close"])
+    chart = materialize(shred(table(spark, sf, "yahoo_chart"), "response_id", "indicators", ["quote", "close"]))
     quotes = _quotes(chart).withColumnRenamed("ordinal", "parent_pos")
     closes = children(quotes, chart.where(F.col("kind") != "null"), "close", ["parent_pos"]).select(F.lit("yahoo_chart").alias("origin"), "doc", "parent_pos", "ordinal")
-    rpc = shred(table(spark, sf, "json_rpc"), "rpc_id", "result", ["transactions", "logs"])
+    rpc = materialize(shred(table(spark, sf, "json_rpc"), "rpc_id", "result", ["transactions", "logs"]))
     holders = _holders(rpc).withColumnRenamed("ordinal", "parent_pos")
     logs = children(holders, objects_only(rpc), "logs", ["parent_pos"]).select(F.lit("json_rpc").alias("origin"), "doc", "parent_pos", "ordinal")
     return closes.unionByName(logs).select("origin", F.col("doc").alias("record_id"), "parent_pos", F.col("ordinal").alias("child_pos"))
@@ -40,7 +40,7 @@ def objects_only(nodes: DataFrame) -> DataFrame:
 def p1_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars of every quote block, with the key of the answer and the place of the block."""
     answers = table(spark, sf, "yahoo_chart")
-    nodes = shred(answers, "response_id", "indicators", ["quote", *QUOTE_FIELDS])
+    nodes = materialize(shred(answers, "response_id", "indicators", ["quote", *QUOTE_FIELDS]))
     quotes = _quotes(nodes)
     places = quotes.select("doc", "node", F.col("ordinal").alias("quote_pos"))
     bars = entities(quotes, nodes, QUOTE_FIELDS, by=["ordinal"])
@@ -54,7 +54,7 @@ def p1_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Logs of every transaction and receipt with their scalar fields and number of topics."""
-    nodes = shred(table(spark, sf, "json_rpc"), "rpc_id", "result", ["transactions", "logs", "topics", *LOG_FIELDS])
+    nodes = materialize(shred(table(spark, sf, "json_rpc"), "rpc_id", "result", ["transactions", "logs", "topics", *LOG_FIELDS]))
     holders = _holders(nodes).withColumnRenamed("ordinal", "parent_pos")
     logs = children(holders, objects_only(nodes), "logs", ["parent_pos"])
     fields = entities(logs, nodes, LOG_FIELDS)

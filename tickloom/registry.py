@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.functions import pricing
 from tickloom.functions.texts import BONDS, SCALARS
+from tickloom.session import ship
 from tickloom.sources.chain import EthLogs, JsonRpc
 from tickloom.sources.filings import SecFacts, SecFilings
 from tickloom.sources.quotes import AlphaVantageNews, BinanceKlines, CoinGecko, FredSeries, PolygonAggs, YahooFinance
@@ -15,6 +16,7 @@ SOURCES = (YahooFinance, CoinGecko, FredSeries, PolygonAggs, BinanceKlines, Alph
 
 def register(spark: SparkSession) -> None:
     """Register the scalar functions for SQL and the data sources for ``spark.read.format``; again does no harm."""
+    ship(spark)
     for name, (parameters, kind, body) in (SCALARS | BONDS).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION timebucket(ts TIMESTAMP, width INTERVAL DAY TO SECOND) RETURNS TIMESTAMP RETURN timestamp_micros(unix_micros(ts) - unix_micros(ts) % CAST(extract(DAY FROM width) * 86400000000 + extract(HOUR FROM width) * 3600000000 + extract(MINUTE FROM width) * 60000000 + extract(SECOND FROM width) * 1000000 AS BIGINT))")
