@@ -125,9 +125,9 @@ def _longest_usual(lengths: dict[int, int], limits: Limits) -> float:
 
 
 def _stands_out(y: np.ndarray, first: int, length: int, by: float) -> bool:
-    """Whether a patch departs from the middle of its wider neighbourhood too; a sound reading between two spikes does not."""
+    """Whether a patch departs from the middle of its wider neighbourhood too; a sound reading between two odd ones does not."""
     around = np.r_[y[max(0, first - 6) : first], y[first + length : first + length + 6]]
-    return abs(np.median(y[first : first + length]) - np.median(around)) > by / 2
+    return abs(np.median(y[first : first + length]) - np.median(around)) > by
 
 
 def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold: float, patch: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold:
             score[reading[k : k + m] - reading[1 : m + 1] >= patch] = 0
             better = score > best[1 : m + 1] * 1.0001
             best[1 : m + 1][better], length[1 : m + 1][better] = score[better], k
-        candidates = [i for i in np.flatnonzero(best > threshold * scale) if _stands_out(y, i, length[i], best[i])]
+        candidates = [i for i in np.flatnonzero(best > threshold * scale) if _stands_out(y, i, length[i], max(best[i] / 2, 0.75 * threshold * scale))]
         if not candidates:
             return marked
         candidates = np.array(candidates)
