@@ -62,3 +62,6 @@ def test_empty_tables(spark):
     p = " ".join(passage(50, 9))
     assert found(spark, [], [(1, p)]) == set() and found(spark, [p], []) == set()
     assert found(spark, [p, p], [(1, p)]) == {(0, 1), (1, 1)}
+    unnamed = spark.createDataFrame([(None, p)], "id bigint, body string")
+    tests = spark.createDataFrame([(1, p)], "item bigint, text string")
+    assert [(r.doc, r.item) for r in leaks(unnamed, "id", "body", tests, "item", "text").collect()] == [(None, 1)]

@@ -236,7 +236,7 @@ def _search(index: DataFrame, passages: _Passages, rarity: np.ndarray, m: Matchi
                     if held >= m.share * lengths[k]:
                         found += [(doc, item, held / float(lengths[k]), pieces, start) for item in passages.items[k]]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found)], names=["doc", "item", "held", "pieces", "position"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc", "item", "held", "pieces", "position"])
 
     return index.mapInArrow(run, "doc bigint, item bigint, held double, pieces bigint, position bigint")
 
@@ -246,7 +246,8 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
 
     ``held`` is the share of the passage's words found in their order in one or two pieces,
     ``position`` the word at which the larger piece begins. Items that share a passage are given
-    each, and so are copies of a document. Null and empty texts and passages match nothing; a
+    each, and so are copies of a document. Null and empty texts and passages match nothing, a null
+    document id stays null; a
     passage of fewer words than a phrase is matched by none. Other columns are ignored.
 
     The passages are read on the driver in blocks of up to ``most`` words; each block is matched
