@@ -81,3 +81,5 @@ def test_thin_trading_few_rows_nulls_and_empty(spark):
     assert flags(few.limit(0)) == {}
     odd = frame(spark, {None: walk(60), "b": [[None, None]] * 30}, [("c", None, 999, 5.0, 5)])
     assert flags(odd) == {}
+    unnamed = frame(spark, {"a": walk(60)}, [("a", None, None, -1.0, 5), ("a", None, None, None, None), (None, None, None, None, -1)])
+    assert flags(unnamed) == {(None, "price"): "impossible", (None, "volume"): "impossible"}

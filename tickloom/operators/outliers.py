@@ -229,7 +229,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _arrays(group: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     columns = [group.column(n).cast(pa.float64()).to_numpy() for n in names]
-    return group.column("ts").cast(pa.int64()).to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
+    return group.column("ts").cast(pa.int64()).fill_null(-(2**62)).to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
 
 
 def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[str], measures: Sequence[Measure], limits: Limits = Limits()) -> DataFrame:
@@ -238,7 +238,7 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     Readings of a source ``key`` follow ``ts``; rows of one reading follow ``order`` and are judged
     each, as they may hold corrected values. Nulls are skipped, a null ``ts`` sorts first, null keys
     are one source; a source with few changes gets only its impossible values flagged; repeated
-    rows are flagged each; an empty table gives an empty one; other columns are ignored.
+    rows are flagged each, a null ``row`` as null; an empty table gives an empty one; other columns are ignored.
 
     Sources are spread over tasks by key, those with more than ``limits.size`` rows by blocks of
     that size with a margin of their neighbours, and their robust parameters come from mergeable
@@ -295,13 +295,12 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             at, own, values = _arrays(group, names)
-            ids = group.column("row").to_numpy()
             known = group.column("given")[0].as_py()
             for k, (value, measure) in enumerate(zip(values, measures)):
                 kind = _judge(at, value, own, measure, limits, known and known[3 * k : 3 * k + 3])
                 bad = np.flatnonzero((kind > 0) & own)
                 if len(bad):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[bad]), pa.array([measure.name] * len(bad)), pa.array([_KINDS[k] for k in kind[bad]])], schema=_FLAGS)
+                    yield pa.RecordBatch.from_arrays([group.column("row").take(pa.array(bad)).combine_chunks(), pa.array([measure.name] * len(bad)), pa.array([_KINDS[k] for k in kind[bad]])], schema=_FLAGS)
 
     spread = blocks.repartition("key", "block").sortWithinPartitions(*sort).select(*columns, "given")
     return spread.mapInArrow(judge, "row bigint, measure string, kind string")
