@@ -156,3 +156,26 @@ def ha_open(open_: str = "open", high: str = "high", low: str = "low", close: st
     first = F.when(i == 1, (F.col(open_) + F.col(close)) / 2 * F.pow(half, n - 1)).otherwise(0.0)
     rest = F.when(i < n, (F.col(open_) + F.col(high) + F.col(low) + F.col(close)) / 4 * F.pow(half, n - i)).otherwise(0.0)
     return F.sum(first + rest)
+
+
+def _flow(high: str, low: str, close: str, volume: str) -> Column:
+    h, l, c = F.col(high), F.col(low), F.col(close)  # noqa: E741
+    return F.coalesce(F.try_divide((c - l) - (h - c), h - l), F.lit(0.0)) * F.col(volume)
+
+
+def ad_line(high: str = "high", low: str = "low", close: str = "close", volume: str = "volume") -> Column:
+    """Accumulation and distribution."""
+    return F.sum(_flow(high, low, close, volume))
+
+
+def cmf(high: str = "high", low: str = "low", close: str = "close", volume: str = "volume", period: int = 20) -> Column:
+    """Chaikin money flow of the last ``period`` bars; 0 without volume."""
+    return F.coalesce(F.try_divide(F.sum(_recent(_flow(high, low, close, volume), period)), F.sum(_recent(F.col(volume), period))), F.lit(0.0))
+
+
+def mfi(high: str = "high", low: str = "low", close: str = "close", volume: str = "volume", period: int = 14) -> Column:
+    """Money flow index over the last ``period`` changes; null for one bar, 100 without negative flow."""
+    price, before = (F.col(high) + F.col(low) + F.col(close)) / 3, (_before(high) + _before(low) + _before(close)) / 3
+    flow = _recent(price * F.col(volume), period)
+    up, down = (F.coalesce(F.sum(F.when(c, flow)), F.lit(0.0)) for c in (price > before, price < before))
+    return F.when(F.max("_n") >= 2, F.when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / F.nullif(down, F.lit(0.0)))))
