@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +48,23 @@ def in_blocks(df: DataFrame, places: DataFrame, key: str, slot: Column) -> DataF
     joined = df.withColumn("_slot", slot).join(places.withColumnRenamed("_slot", "_at"), F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_at")), "left")
     placed = joined.select(*df.columns, F.coalesce("_home", F.lit(0)).alias("_home"), F.explode(F.coalesce("_blocks", F.array(F.lit(0)))).alias("block"))
     return placed.select(*df.columns, "block", (F.col("block") == F.col("_home")).alias("own"))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key and block, the first two columns, of a partition sorted by them; held is one block at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero((same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])) + 1).tolist(), batch.num_rows]
+        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (batch.column(0)[0].as_py(), batch.column(1)[0].as_py()):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:]):
+            if a and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

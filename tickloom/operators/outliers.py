@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import hot_places, in_blocks
+from tickloom.operators.blocks import hot_places, in_blocks, sorted_groups
 from tickloom.session import materialize
 
 #: Bins of the mergeable histograms: logarithms of absolute changes, ratios of successive changes.
@@ -207,26 +207,6 @@ def _judge(ts, value, own, measure: Measure, limits: Limits, given) -> np.ndarra
     return kind
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each key and block of a sorted partition; a block is bounded by its size."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        same = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero((same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])) + 1).tolist(), batch.num_rows]
-        if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (batch.column(0)[0].as_py(), batch.column(1)[0].as_py()):
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip(cuts, cuts[1:]):
-            if a and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _arrays(group: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     columns = [group.column(n).cast(pa.float64()).to_numpy() for n in names]
     return group.column("ts").cast(pa.int64()).fill_null(-(2**62)).to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
@@ -252,7 +232,7 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     columns = ["key", "block", "ts", "row", "own", *names]
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in sorted_groups(batches):
             at, own, values = _arrays(group, names)
             out: dict[str, list] = {"key": [], "measure": [], "what": [], "bin": [], "n": []}
             for name, value, measure in zip(names, values, measures):
@@ -293,7 +273,7 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     blocks = in_blocks(rows, places, "key", hour).join(given, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
+        for group in sorted_groups(batches):
             at, own, values = _arrays(group, names)
             known = group.column("given")[0].as_py()
             for k, (value, measure) in enumerate(zip(values, measures)):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.blocks import sorted_groups
 from tickloom.session import materialize
 
 
@@ -16,14 +19,20 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[c].alias(c) for c in values])
 
 
-def _prefix(values: Column) -> Column:
-    """Sums of the first 1, 2, ... entries."""
-    return F.aggregate(values, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + x)))
+def _trailing(values: np.ndarray, start: int, period: int) -> np.ndarray:
+    """Totals over the ``period`` days up to each, days before ``start`` counting as 0.
 
-
-def _dense(places: Column, measure: str) -> Column:
-    """The measure at each place, 0 where there is no row."""
-    return F.transform(places, lambda p: F.coalesce(F.try_element_at(F.col("_held"), p)[measure], F.lit(0.0)))
+    Days are cut into blocks of the period's length; a total is the prefix of its block and the
+    suffix of the block before from the day after the window's start on.
+    """
+    front = start % period
+    back = -(front + len(values)) % period
+    blocks = np.concatenate([np.zeros(period + front), values, np.zeros(back)]).reshape(-1, period)
+    prefix = np.cumsum(blocks, axis=1)
+    suffix = np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1]
+    total = prefix[1:].copy()
+    total[:, :-1] += suffix[:-1, 1:]
+    return total.ravel()[front : front + len(values)]
 
 
 def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str], periods: Sequence[int], tail: int) -> DataFrame:
@@ -31,46 +40,53 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
 
     ``daily`` has at most one row per key and day (date). Days run from a key's first to ``tail``
     days after its last, whether they have a row or not; a null measure counts as 0, null keys and
-    days are left out. Each period ``w`` cuts time into blocks of ``w`` days. Sums from a block's
-    start up to each day (prefix) and from each day to its end (suffix) are formed once; the
-    trailing total of a day is its prefix plus the suffix of the day ``w - 1`` before it, which
-    lies in the block before. A block holds at most ``w`` rows, so a hot key spreads over its
-    blocks; a key's days are bounded by the calendar.
+    days are left out; other columns are ignored.
+
+    Days are put together in spans of ten times the longest period, each with the days before it
+    that its first windows reach back to; within a span every period has its own blocks. A task
+    holds one span of one key, so a hot key spreads over its spans, and all periods come from one
+    shuffle of daily rows.
     """
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    rows = daily.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_key"), number.alias("_day"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in measures])
-    rows = materialize(rows)  # read again for the spans and for each period
-    spans = rows.groupBy("_key").agg(F.min("_day").alias("_from"), (F.max("_day") + tail).alias("_to"))
-    out: DataFrame | None = None
-    for w in periods:
-        block = F.floor(F.col("_day") / w).cast("int")
-        # every block of the span is there, with or without rows, and so is the block before the first
-        frame = spans.select("_key", F.explode(F.sequence(F.floor(F.col("_from") / w).cast("int") - 1, F.floor(F.col("_to") / w).cast("int"))).alias("_block"), "_from", "_to")
-        empty = frame.select("_key", "_block", F.lit(None).cast("int").alias("_at"), *[F.lit(0.0).alias(m) for m in measures], "_from", "_to")
-        filled = rows.select("_key", block.alias("_block"), (F.col("_day") - block * w).alias("_at"), *measures, F.lit(None).cast("int").alias("_from"), F.lit(None).cast("int").alias("_to"))
-        places = F.sequence(F.lit(0), F.lit(w - 1))
-        by_place = F.map_from_entries(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", F.struct(*measures)))))
-        blocks = filled.unionByName(empty).groupBy("_key", "_block").agg(by_place.alias("_held"), F.max("_from").alias("_from"), F.max("_to").alias("_to"))
-        dense = blocks.select("_key", "_block", "_from", "_to", *[_dense(places, m).alias(m) for m in measures])
-        sums = dense.select(
-            "_key", "_block", "_from", "_to",
-            F.struct(*[_prefix(F.col(m)).alias(m) for m in measures]).alias("_prefix"),
-            F.struct(*[F.reverse(_prefix(F.reverse(F.col(m)))).alias(m) for m in measures]).alias("_suffix"),
-        )
-        # each block meets the suffixes of the one before it
-        none = F.lit(None)
-        met = (
-            sums.select("_key", "_block", "_from", "_to", "_prefix", none.cast(sums.schema["_suffix"].dataType).alias("_suffix"))
-            .unionByName(sums.select("_key", (F.col("_block") + 1).alias("_block"), none.cast("int").alias("_from"), none.cast("int").alias("_to"), none.cast(sums.schema["_prefix"].dataType).alias("_prefix"), "_suffix"))
-            .groupBy("_key", "_block").agg(*[F.max(c).alias(c) for c in ("_from", "_to", "_prefix", "_suffix")])
-        )
-        totals = [
-            (F.get(F.col("_prefix")[m], F.col("_at")) + F.when(F.col("_at") < w - 1, F.coalesce(F.get(F.col("_suffix")[m], F.col("_at") + 1), F.lit(0.0))).otherwise(0.0)).alias(f"{m}_{w}")
-            for m in measures
-        ]
-        days = (
-            met.where(F.col("_prefix").isNotNull()).select("*", F.explode(places).alias("_at")).withColumn("_day", F.col("_block") * w + F.col("_at"))
-            .where(F.col("_day").between(F.col("_from"), F.col("_to"))).select("_key", "_day", *totals)
-        )
-        out = days if out is None else out.join(days, ["_key", "_day"])
-    return out.select(F.col("_key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day")).alias(day), *[f"{m}_{w}" for w in periods for m in measures])
+    rows = daily.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_key"), number.alias("_day"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(f"_m{i}") for i, m in enumerate(measures)])
+    rows = materialize(rows)  # read again for the first and last days
+    names = [f"_m{i}" for i in range(len(measures))]
+    reach = max(periods) - 1
+    size = 10 * (reach + 1)
+    span = F.floor(F.col("_day") / size).cast("int")
+    ends = rows.groupBy("_key").agg(F.min("_day").alias("_from"), (F.max("_day") + tail).alias("_to"))
+    none = F.lit(None)
+    frame = ends.select("_key", F.explode(F.sequence(F.floor(F.col("_from") / size).cast("int"), F.floor(F.col("_to") / size).cast("int"))).alias("_span"), none.cast("int").alias("_day"), *[none.cast("double").alias(n) for n in names], "_from", "_to")
+    late = F.col("_day") >= (span + 1) * size - reach
+    held = rows.select("_key", F.explode(F.when(late, F.array(span, span + 1)).otherwise(F.array(span))).alias("_span"), "_day", *names, none.cast("int").alias("_from"), none.cast("int").alias("_to"))
+    kind = dict(rows.dtypes)["_key"]
+    labels = [f"{m}_{w}" for w in periods for m in measures]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches):
+            edge = group.column("_from").to_numpy()
+            first = np.flatnonzero(~np.isnan(edge.astype(float)))
+            if not len(first):  # only days that a later span reaches back to
+                continue
+            since, until = int(edge[first[0]]), int(group.column("_to")[int(first[0])].as_py())
+            start = int(group.column("_span")[0].as_py()) * size
+            at = group.column("_day").to_numpy().astype(float)
+            here = np.flatnonzero(~np.isnan(at))
+            place = at[here].astype(int) - (start - reach)
+            a, b = max(since, start), min(until, start + size - 1)
+            if a > b:
+                continue
+            out = []
+            dense = []
+            for n in names:
+                x = np.zeros(reach + size)
+                x[place] = group.column(n).to_numpy()[here]
+                dense.append(x)
+            for w in periods:
+                out += [_trailing(x, start - reach, w)[a - start + reach : b - start + reach + 1] for x in dense]
+            keys = pa.array([group.column("_key")[0].as_py()] * (b - a + 1), group.schema.field("_key").type)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(a, b + 1), pa.int32()), *map(pa.array, out)], names=["_key", "_day", *[f"_t{i}" for i in range(len(out))]])
+
+    both = held.unionByName(frame).repartition("_key", "_span").sortWithinPartitions("_key", "_span")
+    totals = both.mapInArrow(run, ", ".join([f"_key {kind}", "_day int", *[f"_t{i} double" for i in range(len(labels))]]))
+    return totals.select(F.col("_key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day")).alias(day), *[F.col(f"_t{i}").alias(n) for i, n in enumerate(labels)])
