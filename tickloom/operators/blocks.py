@@ -17,18 +17,16 @@ def hot_places(df: DataFrame, key: str, slot: Column, size: int, margin: int) ->
 
     A key is cut along ``slot``, a coarse time: a new block begins with the first slot after each
     ``size`` rows; whole slots with at least ``margin`` rows on either side (all there are, if
-    fewer) go to the neighbour too. Rows are counted by key and slot first, so a hot key gathers
-    only its slots, whose number the calendar bounds. ``margin`` must not exceed ``size``. Null
+    fewer) go to the neighbour too. Rows are counted by key, those of large keys by slot, before
+    they are ordered, so a hot key gathers only its slots, whose number the calendar bounds. ``margin`` must not exceed ``size``. Null
     slots sort first; null keys are one key. The result has a row per slot of the hot keys and is
     written once, so that its size is known where it is joined.
     """
-    counts = df.groupBy(F.col(key).alias("_key"), slot.alias("_slot")).agg(F.count("*").alias("_n"))
-    along = Window.partitionBy("_key").orderBy("_slot")
-    hot = (
-        counts.withColumns({"_to": F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy("_key"))})
-        .where(F.col("_all") > size)
-        .withColumns({"_from": F.col("_to") - F.col("_n"), "_home": F.floor((F.col("_to") - F.col("_n")) / size).cast("int")})
-    )
+    large = materialize(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_all")).where(F.col("_all") > size).select("_key"))
+    rows = df.select(F.col(key).alias("_named"), slot.alias("_slot")).join(large, F.col("_named").eqNullSafe(F.col("_key")))
+    counts = rows.groupBy("_key", "_slot").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0))
+    hot = counts.withColumn("_to", upto).withColumns({"_from": F.col("_to") - F.col("_n"), "_home": F.floor((F.col("_to") - F.col("_n")) / size).cast("int")})
     inside = Window.partitionBy("_key", "_home")
     hot = hot.withColumns({"_first": F.min("_from").over(inside), "_last": F.max("_to").over(inside)})
     # blocks are numbered without holes, so that the neighbour is one away
