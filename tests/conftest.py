@@ -28,11 +28,30 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-SF = "/root/testdata/sf0.001"
+SF = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def sf():
-    if not Path(SF).exists():
+def agrees(spark):
+    """Whether a query gives the rows of its SQL, on the smallest test tables."""
+    duckdb = pytest.importorskip("duckdb")
+    if not SF.exists():
         pytest.skip("no test tables")
-    return SF
+    import __spark_entry__
+
+    queries, texts = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    con = duckdb.connect()
+    for file in SF.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+
+    def check(name: str) -> bool:
+        df = queries[name](spark, str(SF))
+        answer = con.execute(texts[name])
+        columns = [d[0] for d in answer.description]
+        assert sorted(columns) == sorted(df.columns)
+        shown = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+        ours = sorted(tuple(shown(r[c]) for c in sorted(columns)) for r in df.collect())
+        places = sorted(range(len(columns)), key=columns.__getitem__)
+        return ours == sorted(tuple(shown(r[i]) for i in places) for r in answer.fetchall())
+
+    return check

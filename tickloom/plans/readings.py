@@ -69,7 +69,7 @@ def p5_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every weekday of a symbol and every period of a series, missing ones marked and filled."""
     parts = [grid.select(F.lit(origin).alias("origin"), "*") for origin, grid in (("yahoo_finance", _closes(spark, sf)), ("fred_series", _series(spark, sf)))]
     both = parts[0].unionByName(parts[1])
-    return both.select("origin", "series", F.date_format("period", "yyyy-MM-dd").alias("period"), F.round("value", 4).alias("value"), "missing", "run", F.round("filled", 6).alias("filled"))
+    return both.select("origin", "series", F.date_format("period", "yyyy-MM-dd").alias("period"), F.round("value", 4).alias("value"), "missing", "run", F.round(F.col("filled") + 1e-10, 6).alias("filled"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,6 +113,6 @@ ORACLE = {
     "p5_grid": "WITH "
     + _PERIODS
     + f"""SELECT origin, s AS series, strftime(p, '%Y-%m-%d') AS period, round(v, 4) AS value, missing, CASE WHEN missing THEN run ELSE 0 END AS run,
- round(CASE WHEN NOT missing THEN v WHEN run <= {GAP} THEN va + (vb - va) * greatest(0, least(1, CAST(p - da AS DOUBLE) / (db - da))) END, 6) AS filled
+ round(CASE WHEN NOT missing THEN v WHEN run <= {GAP} THEN va + (vb - va) * greatest(0, least(1, CAST(p - da AS DOUBLE) / (db - da))) END + 1e-10, 6) AS filled
 FROM runs LEFT JOIN heads USING (origin, s, freq, g)""",
 }

@@ -15,6 +15,11 @@ def _us(column: str) -> Column:
     return F.unix_micros(column).alias(f"{column}_us")
 
 
+def _price(digits: int) -> Column:
+    """Prices are quotients of few digits and lie on ties of the rounding; the shift settles them upwards."""
+    return F.round(F.col("price") + 1e-9, digits).alias("price")
+
+
 def resample_ohlc(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly bars from those of six hours."""
     weekly = market.resample_ohlc(bars(spark, sf), "1 week", ["symbol"])
@@ -23,7 +28,7 @@ def resample_ohlc(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_returns(spark: SparkSession, sf: str) -> DataFrame:
     rows = market.with_returns(daily(spark, sf))
-    return rows.select(_us("ts"), *[F.round(c, 6).alias(c) for c in ("price", "simple_return", "log_return")])
+    return rows.select(_us("ts"), _price(6), *[F.round(c, 6).alias(c) for c in ("simple_return", "log_return")])
 
 
 def asof_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +48,7 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 
 def backtest_equity(spark: SparkSession, sf: str) -> DataFrame:
     e = backtest.backtest_equity(_signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
-    return e.select(_us("ts"), *[F.round(c, 4).alias(c) for c in ("price", "position", "cash", "equity")])
+    return e.select(_us("ts"), _price(4), *[F.round(c, 4).alias(c) for c in ("position", "cash", "equity")])
 
 
 def backtest_trades(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,9 +110,9 @@ trades AS (SELECT trade, max(ts) FILTER (WHERE long = 1) AS entry_ts, max(ts) FI
 _PANEL = f"""{BARS}, r AS (SELECT ts, symbol, ret FROM b WHERE ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ts) = (SELECT count(DISTINCT symbol) FROM b WHERE ret IS NOT NULL))"""
 ORACLE = {
     "resample_ohlc": f"WITH {BARS} SELECT symbol, epoch_us(time_bucket(INTERVAL 7 DAY, ts)) AS ts_us, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM b GROUP BY symbol, time_bucket(INTERVAL 7 DAY, ts)",
-    "with_returns": f"WITH {DAILY} SELECT epoch_us(ts) AS ts_us, round(price, 6) AS price, round(price / nullif(lag(price) OVER w, 0) - 1, 6) + 0.0 AS simple_return, round(ln(price / nullif(lag(price) OVER w, 0)), 6) + 0.0 AS log_return FROM daily WINDOW w AS (ORDER BY ts)",
+    "with_returns": f"WITH {DAILY} SELECT epoch_us(ts) AS ts_us, round(price + 1e-9, 6) AS price, round(price / nullif(lag(price) OVER w, 0) - 1, 6) + 0.0 AS simple_return, round(ln(price / nullif(lag(price) OVER w, 0)), 6) + 0.0 AS log_return FROM daily WINDOW w AS (ORDER BY ts)",
     "asof_join": "WITH l AS (SELECT ts, value AS price FROM events WHERE event_type = 'purchase'), r AS (SELECT ts, value AS price FROM events WHERE event_type = 'view') SELECT epoch_us(l.ts) AS ts_us, l.price, epoch_us(r.ts) AS ts_r_us, r.price AS price_r FROM l ASOF LEFT JOIN r ON l.ts >= r.ts",
-    "backtest_equity": f"WITH {_SIM} SELECT epoch_us(ts) AS ts_us, round(price, 4) AS price, CASE WHEN long = 1 THEN round(equity / price, 4) ELSE 0 END AS position, CASE WHEN long = 1 THEN 0 ELSE round(equity, 4) END AS cash, round(equity, 4) AS equity FROM eq",
+    "backtest_equity": f"WITH {_SIM} SELECT epoch_us(ts) AS ts_us, round(price + 1e-9, 4) AS price, CASE WHEN long = 1 THEN round(equity / price, 4) ELSE 0 END AS position, CASE WHEN long = 1 THEN 0 ELSE round(equity, 4) END AS cash, round(equity, 4) AS equity FROM eq",
     "backtest_trades": f'WITH {_SIM} SELECT epoch_us(entry_ts) AS entry_ts_us, epoch_us(exit_ts) AS exit_ts_us, round(entry_price, 4) AS entry_price, round(exit_price, 4) AS exit_price, round(got - spent, 4) + 0.0 AS pnl, round((got - spent) / spent, 4) + 0.0 AS "return", bars_held FROM trades',
     "backtest_stats": f"""WITH {_SIM}, w AS (SELECT *, equity / lag(equity) OVER (ORDER BY ts) - 1 AS r, equity / max(equity) OVER (ORDER BY ts) - 1 AS dd FROM eq),
 s AS (SELECT arg_max(equity, ts) AS f, CAST(count(*) AS DOUBLE) AS n, stddev_samp(r) AS sd, avg(r) AS m, min(dd) AS dd FROM w),
