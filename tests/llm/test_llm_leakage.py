@@ -58,6 +58,16 @@ def test_leaks_through_dirt(spark):
     assert found(spark, texts, items, Matching(most=100)) == want  # in blocks of items
 
 
+def test_many_copies_and_standing_notices(spark):
+    p, notice = passage(60, 31), passage(14, 32)
+    q = notice + passage(50, 33)
+    third = [lines(p[:22] + passage(30, 40) + p[27:50])] * 40  # two pieces, in a third of all documents
+    noted = [lines(passage(30, 100 + k) + notice) for k in range(75)]
+    partly = lines(q[20:40] + passage(60, 34) + notice)  # a third of the passage, and a notice that many have
+    texts = [*third, *noted, partly]
+    assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {(k, 1) for k in range(40)}
+
+
 def test_empty_tables(spark):
     p = " ".join(passage(50, 9))
     assert found(spark, [], [(1, p)]) == set() and found(spark, [p], []) == set()

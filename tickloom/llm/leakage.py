@@ -48,15 +48,19 @@ class Matching:
 
     Matches are chained over up to ``gap`` words of other matter; between chained matches up to
     ``hole`` words of the passage count as held. A passage is looked at closer if its matches hold
-    ``least`` of it, more for phrases that are common in the corpus. ``most`` bounds the words of
+    ``least`` of it, more for phrases that are common in the corpus. Pieces of
+    up to ``notice`` words with a mean rarity below ``common`` (1 for phrases of one document, 0.25
+    for those of all) are standing notices. ``most`` bounds the words of
     all passages together that are sent to the partitions at once; more are done in blocks.
     """
 
-    share: float = 0.45
+    share: float = 0.42
     phrase: int = 3
     gap: int = 80
     hole: int = 8
     least: float = 0.07
+    common: float = 0.45
+    notice: int = 20
     most: int = 500_000
 
 
@@ -144,24 +148,25 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield doc, row
 
 
-def _runs(at: np.ndarray, place: np.ndarray, phrase: int, hole: int) -> list[list[int]]:
-    """Matches on one diagonal, close to each other, as ``[start, end, from, to]`` in document and passage."""
+def _runs(at: np.ndarray, place: np.ndarray, rarity: np.ndarray, phrase: int, hole: int) -> list[list]:
+    """Matches on one diagonal, close to each other, as ``[start, end, from, to, rarity]`` in document and passage."""
     diagonal = at - place
     order = np.lexsort((at, diagonal))
     a, q, d = at[order], place[order], diagonal[order]
     new = np.r_[True, (np.diff(d) != 0) | (np.diff(a) > phrase + hole)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(a)] - 1
-    runs = np.stack([a[first], a[last] + phrase, q[first], q[last] + phrase], axis=1)
-    return runs[np.lexsort((runs[:, 2], runs[:, 0]))].tolist()
+    mean = np.add.reduceat(rarity[order], first) / np.diff(np.r_[first, len(a)])
+    runs = list(zip(a[first].tolist(), (a[last] + phrase).tolist(), q[first].tolist(), (q[last] + phrase).tolist(), mean.tolist()))
+    return sorted(runs)
 
 
-def _best_chain(runs: list[list[int]], gap: int, hole: int) -> tuple[float, list[int]]:
+def _best_chain(runs: list, gap: int, hole: int) -> tuple[float, list[int]]:
     score, before = [], []
-    for k, (a, b, q, r) in enumerate(runs):
+    for k, (a, b, q, r, _) in enumerate(runs):
         best, link = 0.0, -1
         for j in range(k - 1, -1, -1):
-            a2, b2, q2, r2 = runs[j]
+            a2, b2, q2, r2, _ = runs[j]
             if a - a2 > 2 * gap + r - q and a - b2 > gap:
                 break
             over = max(0, b2 - a, r2 - q)
@@ -184,33 +189,41 @@ def _best_chain(runs: list[list[int]], gap: int, hole: int) -> tuple[float, list
     return top, path[::-1]
 
 
-def _held(at: np.ndarray, place: np.ndarray, length: int, m: Matching) -> tuple[int, int, int]:
-    """Words of the passage held in up to two pieces, the number of pieces, and where the first begins."""
-    runs = _runs(at, place, m.phrase, m.hole)
-    held = np.zeros(length, bool)
+def _held(at: np.ndarray, place: np.ndarray, rarity: np.ndarray, length: int, m: Matching) -> tuple[int, int, int]:
+    """Words of the passage held in up to two pieces, the number of pieces, and where the first begins.
+
+    A short piece of phrases that are common in the corpus is a standing notice that documents and
+    passages share, no part of a leak, unless it holds the share asked for by itself.
+    """
+    runs = _runs(at, place, rarity, m.phrase, m.hole)
+    seen, held = np.zeros(length, bool), np.zeros(length, bool)
     pieces, start = 0, -1
-    for _ in range(2):
+    while runs and pieces < 2:
         top, path = _best_chain(runs, m.gap, m.hole)
-        if not path or top < 2 * m.phrase:
+        if top < m.phrase + 2:
             break
         mine = np.zeros(length, bool)
         end = None
         for k in path:
-            a, b, q, r = runs[k]
+            a, b, q, r, _ = runs[k]
             if end is not None and 0 < q - end[1] <= m.hole and a - end[0] >= q - end[1]:
                 mine[end[1] : q] = True
             mine[q:r] = True
             end = b, r
-        held |= mine
-        pieces += 1
-        start = runs[path[0]][0] if start < 0 else start
+        size = [runs[k][3] - runs[k][2] for k in path]
+        common = sum(n * runs[k][4] for n, k in zip(size, path)) < m.common * sum(size)
+        if not (common and mine.sum() <= min(m.notice, m.share * length)):
+            held |= mine
+            pieces += 1
+            start = runs[path[0]][0] if start < 0 else start
+        seen |= mine
         used = set(path)
         rest = []
-        for k, (a, b, q, r) in enumerate(runs):
+        for k, (a, b, q, r, w) in enumerate(runs):
             if k not in used:
-                free = np.flatnonzero(~held[q:r])
-                if len(free) >= m.phrase:  # what is left of the run beyond the first piece
-                    rest.append([a + int(free[0]), a + int(free[-1]) + 1, q + int(free[0]), q + int(free[-1]) + 1])
+                free = np.flatnonzero(~seen[q:r])
+                if len(free) >= m.phrase:  # what is left of the run beyond the pieces
+                    rest.append((a + int(free[0]), a + int(free[-1]) + 1, q + int(free[0]), q + int(free[-1]) + 1, w))
         runs = sorted(rest)
     return int(held.sum()), pieces, start
 
@@ -229,10 +242,11 @@ def _search(index: DataFrame, passages: _Passages, rarity: np.ndarray, m: Matchi
                 at = np.repeat(where, n)
                 slot = np.repeat(passages.first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 passage, place = passages.passage[slot], passages.place[slot]
-                weight = np.bincount(passage, np.repeat(rarity[which], n), len(lengths))
+                rare = np.repeat(rarity[which], n)
+                weight = np.bincount(passage, rare, len(lengths))
                 for k in np.flatnonzero(weight >= m.least * lengths):
                     mine = passage == k
-                    held, pieces, start = _held(at[mine], place[mine], int(lengths[k]), m)
+                    held, pieces, start = _held(at[mine], place[mine], rare[mine], int(lengths[k]), m)
                     if held >= m.share * lengths[k]:
                         found += [(doc, item, held / float(lengths[k]), pieces, start) for item in passages.items[k]]
             if found:
