@@ -21,15 +21,17 @@ def prepare(df: DataFrame, keys: Sequence[str], ts: str, fields: Sequence[str],
 
     Rows follow ``ts``, then ``fields``. ``slot`` is a coarser time, the day of ``ts`` if not given.
     """
-    if not keys:  # one series with a constant key
-        return prepare(df.withColumn("_series", F.lit(1)), ["_series"], ts, fields, slot).drop("_series")
     rows = df.select(*keys, ts, *[F.col(f).cast("double").alias(f) for f in fields]).dropna(subset=[ts, *fields])
+    place = F.coalesce("_r", F.lit(0)) + 1
+    if not keys:  # the number of rows is one number for all
+        alone = scan(rows, [], [ts, *fields], day(ts) if slot is None else slot, last={"_b": F.struct(*fields)}, total={"_r": F.lit(1)}, before=True)
+        return alone.withColumn("_n", F.lit(rows.count()).cast("bigint")).withColumn("_i", place).drop("_r")
     counted = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"))
     placed = scan(rows, keys, [ts, *fields], day(ts) if slot is None else slot, last={"_b": F.struct(*fields)}, total={"_r": F.lit(1)}, before=True)
     on = F.lit(True)
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return placed.join(counted, on).withColumn("_i", F.coalesce("_r", F.lit(0)) + 1).drop("_r", *[f"_k{i}" for i in range(len(keys))])
+    return placed.join(counted, on).withColumn("_i", place).drop("_r", *[f"_k{i}" for i in range(len(keys))])
 
 
 def _place() -> tuple[Column, Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.scan import day, scan
+from tickloom.session import materialize
 
 #: Statistics in their order.
 METRICS = ("initial_capital", "final_equity", "total_return", "num_bars", "num_trades", "cagr", "annualized_volatility", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor")
@@ -64,9 +65,7 @@ def backtest_trades(df: DataFrame, capital: float, commission: float = 0.0, slip
 
 def backtest_stats(df: DataFrame, capital: float, commission: float = 0.0, slippage: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, metric, value)``: the statistics of ``METRICS`` for each key with rows, a year being 252 rows."""
-    if not keys:  # one series with a constant key
-        return backtest_stats(df.select("ts", "price", "signal", F.lit(1).alias("_series")), capital, commission, slippage, ["_series"]).drop("_series")
-    e = _simulate(df, capital, commission, slippage, keys)
+    e = materialize(_simulate(df, capital, commission, slippage, keys))  # read for the rows and for the trades
     run = scan(e, keys, ["ts", "bar"], day("ts"), greatest={"peak": F.col("equity")})
     run = scan(run, keys, ["ts", "bar"], day("ts"), last={"before": F.col("equity")}, before=True)
     r = F.when(F.col("before") > 0, F.col("equity") / F.col("before") - 1)
@@ -76,11 +75,9 @@ def backtest_stats(df: DataFrame, capital: float, commission: float = 0.0, slipp
     )
     gain, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl")).otherwise(0.0)), F.sum(F.when(F.col("pnl") > 0, 0.0).otherwise(-F.col("pnl")))
     trades = _trades(e, keys, commission, slippage).groupBy(*keys).agg(F.count("*").alias("trades"), F.count(F.when(F.col("pnl") > 0, 1)).alias("wins"), gain.alias("gain"), loss.alias("loss"))
-    right = trades.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "trades", "wins", "gain", "loss")
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on &= bars[k].eqNullSafe(right[f"_k{i}"])
-    both = bars.join(right, on, "left")
+    # the two results of a key meet as rows, which needs no join
+    whole = bars.unionByName(trades, allowMissingColumns=True)
+    both = whole.groupBy(*keys).agg(*[F.max(x).alias(x) for x in whole.columns if x not in keys]).where("n > 0")
     c, n = F.lit(float(capital)), F.col("n").cast("double")
     years = (n - 1) / 252
     trades_n, gain, loss = F.coalesce("trades", F.lit(0)).cast("double"), F.coalesce("gain", F.lit(0.0)), F.coalesce("loss", F.lit(0.0))
