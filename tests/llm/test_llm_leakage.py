@@ -68,6 +68,15 @@ def test_many_copies_and_standing_notices(spark):
     assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {(k, 1) for k in range(40)}
 
 
+def test_copies_do_not_make_their_own_leak_common(spark):
+    p, q = passage(70, 51), passage(60, 52)
+    apart = [lines(p[2:21] + passage(100, 53) + p[40:59])] * 40  # two pieces of 19 words, far apart, in most documents
+    against = [lines(q[40:59] + passage(100, 54) + q[2:21])] * 25  # the later one first
+    once = lines(passage(30, 55) + p[2:21] + passage(90, 56) + p[40:59])
+    texts = [*apart, *against, once, *[lines(passage(100, 200 + k)) for k in range(14)]]
+    assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {*((k, 1) for k in range(40)), *((k, 2) for k in range(40, 65)), (65, 1)}
+
+
 def test_empty_tables(spark):
     p = " ".join(passage(50, 9))
     assert found(spark, [], [(1, p)]) == set() and found(spark, [p], []) == set()

@@ -48,9 +48,10 @@ class Matching:
 
     Matches are chained over up to ``gap`` words of other matter; between chained matches up to
     ``hole`` words of the passage count as held. A passage is looked at closer if its matches hold
-    ``least`` of it, more for phrases that are common in the corpus. Pieces of
-    up to ``notice`` words with a mean rarity below ``common`` (1 for phrases of one document, 0.25
-    for those of all) are standing notices. ``most`` bounds the words of
+    ``least`` of it, however common they are. Pieces of up to ``notice`` words are standing notices if
+    their mean rarity is below ``common``: 1 for phrases of one document, 0.25 for those of all, where
+    only documents count that do not hold the share of the passage, so that copies of a leak
+    never make it common. ``most`` bounds the words of
     all passages together that are sent to the partitions at once; more are done in blocks.
     """
 
@@ -88,6 +89,7 @@ class _Passages:
         self.passage, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (passage, place))
         self.codes, self.first = np.unique(every, return_index=True)
         self.last = np.r_[self.first[1:], len(every)]
+        self.begins = np.r_[0, np.cumsum(self.lengths)]
 
     def encode(self, ids: np.ndarray) -> np.ndarray:
         """A number for each phrase; negative where a term is none of the passages'."""
@@ -148,25 +150,23 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield doc, row
 
 
-def _runs(at: np.ndarray, place: np.ndarray, rarity: np.ndarray, phrase: int, hole: int) -> list[list]:
-    """Matches on one diagonal, close to each other, as ``[start, end, from, to, rarity]`` in document and passage."""
+def _runs(at: np.ndarray, place: np.ndarray, phrase: int, hole: int) -> list[tuple[int, int, int, int]]:
+    """Matches on one diagonal, close to each other, as ``(start, end, from, to)`` in document and passage."""
     diagonal = at - place
     order = np.lexsort((at, diagonal))
     a, q, d = at[order], place[order], diagonal[order]
     new = np.r_[True, (np.diff(d) != 0) | (np.diff(a) > phrase + hole)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(a)] - 1
-    mean = np.add.reduceat(rarity[order], first) / np.diff(np.r_[first, len(a)])
-    runs = list(zip(a[first].tolist(), (a[last] + phrase).tolist(), q[first].tolist(), (q[last] + phrase).tolist(), mean.tolist()))
-    return sorted(runs)
+    return sorted(zip(a[first].tolist(), (a[last] + phrase).tolist(), q[first].tolist(), (q[last] + phrase).tolist()))
 
 
 def _best_chain(runs: list, gap: int, hole: int) -> tuple[float, list[int]]:
     score, before = [], []
-    for k, (a, b, q, r, _) in enumerate(runs):
+    for k, (a, b, q, r) in enumerate(runs):
         best, link = 0.0, -1
         for j in range(k - 1, -1, -1):
-            a2, b2, q2, r2, _ = runs[j]
+            a2, b2, q2, r2 = runs[j]
             if a - a2 > 2 * gap + r - q and a - b2 > gap:
                 break
             over = max(0, b2 - a, r2 - q)
@@ -189,46 +189,59 @@ def _best_chain(runs: list, gap: int, hole: int) -> tuple[float, list[int]]:
     return top, path[::-1]
 
 
-def _held(at: np.ndarray, place: np.ndarray, rarity: np.ndarray, length: int, m: Matching) -> tuple[int, int, int]:
-    """Words of the passage held in up to two pieces, the number of pieces, and where the first begins.
+def _reach(place: np.ndarray, longest: int) -> int:
+    """The most words of a passage that matches at ``place``, in order, can hold, each with the hole after it."""
+    return int(np.minimum(np.diff(place), longest).sum()) + longest
 
-    A short piece of phrases that are common in the corpus is a standing notice that documents and
-    passages share, no part of a leak, unless it holds the share asked for by itself.
+
+def _short(words: int, length: int, m: Matching) -> bool:
+    """Whether a piece may be a standing notice: it is short and not the share asked for by itself."""
+    return words <= min(m.notice, m.share * length)
+
+
+def _pieces(at: np.ndarray, place: np.ndarray, length: int, m: Matching) -> list[tuple[int, np.ndarray]]:
+    """Pieces of the passage from the largest on, each as its place in the document and the words held.
+
+    There are two at most besides those that may be standing notices; none if the first two hold too little.
     """
-    runs = _runs(at, place, rarity, m.phrase, m.hole)
-    seen, held = np.zeros(length, bool), np.zeros(length, bool)
-    pieces, start = 0, -1
-    while runs and pieces < 2:
+    runs = _runs(at, place, m.phrase, m.hole)
+    seen = np.zeros(length, bool)
+    out: list[tuple[int, np.ndarray]] = []
+    sure = 0
+    while runs and sure < 2:
         top, path = _best_chain(runs, m.gap, m.hole)
         if top < m.phrase + 2:
             break
         mine = np.zeros(length, bool)
         end = None
         for k in path:
-            a, b, q, r, _ = runs[k]
+            a, b, q, r = runs[k]
             if end is not None and 0 < q - end[1] <= m.hole and a - end[0] >= q - end[1]:
                 mine[end[1] : q] = True
             mine[q:r] = True
             end = b, r
-        size = [runs[k][3] - runs[k][2] for k in path]
-        common = sum(n * runs[k][4] for n, k in zip(size, path)) < m.common * sum(size)
-        if not (common and mine.sum() <= min(m.notice, m.share * length)):
-            held |= mine
-            pieces += 1
-            start = runs[path[0]][0] if start < 0 else start
+        out.append((runs[path[0]][0], np.flatnonzero(mine)))
+        sure += not _short(mine.sum(), length, m)
         seen |= mine
+        if len(out) == 2 and seen.sum() < m.share * length:
+            return []
         used = set(path)
         rest = []
-        for k, (a, b, q, r, w) in enumerate(runs):
+        for k, (a, b, q, r) in enumerate(runs):
             if k not in used:
                 free = np.flatnonzero(~seen[q:r])
                 if len(free) >= m.phrase:  # what is left of the run beyond the pieces
-                    rest.append((a + int(free[0]), a + int(free[-1]) + 1, q + int(free[0]), q + int(free[-1]) + 1, w))
+                    rest.append((a + int(free[0]), a + int(free[-1]) + 1, q + int(free[0]), q + int(free[-1]) + 1))
         runs = sorted(rest)
-    return int(held.sum()), pieces, start
+    return out if seen.sum() >= m.share * length else []
+
+
+_PIECES = "doc bigint, passage int, places array<int>, position array<int>, held array<array<int>>"
+_FOUND = "doc bigint, item bigint, held double, pieces bigint, position bigint"
 
 
-def _search(index: DataFrame, passages: _Passages, rarity: np.ndarray, m: Matching) -> DataFrame:
+def _search(index: DataFrame, passages: _Passages, m: Matching) -> DataFrame:
+    """Documents whose pieces hold the share of a passage, with the places of their matches in it."""
     lengths, per = passages.lengths, passages.last - passages.first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,17 +255,41 @@ def _search(index: DataFrame, passages: _Passages, rarity: np.ndarray, m: Matchi
                 at = np.repeat(where, n)
                 slot = np.repeat(passages.first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 passage, place = passages.passage[slot], passages.place[slot]
-                rare = np.repeat(rarity[which], n)
-                weight = np.bincount(passage, rare, len(lengths))
-                for k in np.flatnonzero(weight >= m.least * lengths):
+                count = np.bincount(passage, minlength=len(lengths))
+                for k in np.flatnonzero((count > 0) & (count >= m.least * lengths)):
                     mine = passage == k
-                    held, pieces, start = _held(at[mine], place[mine], rare[mine], int(lengths[k]), m)
-                    if held >= m.share * lengths[k]:
-                        found += [(doc, item, held / float(lengths[k]), pieces, start) for item in passages.items[k]]
+                    places = np.unique(place[mine])
+                    if _reach(places, m.phrase + m.hole) < m.share * lengths[k]:
+                        continue
+                    if pieces := _pieces(at[mine], place[mine], int(lengths[k]), m):
+                        found.append((doc, int(k), places.tolist(), [x for x, _ in pieces], [x.tolist() for _, x in pieces]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc", "item", "held", "pieces", "position"])
+                few = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int32(), few, few, pa.list_(few)))], names=["doc", "passage", "places", "position", "held"])
 
-    return index.mapInArrow(run, "doc bigint, item bigint, held double, pieces bigint, position bigint")
+    return index.mapInArrow(run, _PIECES)
+
+
+def _decide(found: DataFrame, passages: _Passages, rarity: np.ndarray, m: Matching) -> DataFrame:
+    """Pieces without standing notices; the share must be held by the first two of the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, k, places, position, held in zip(*(c.to_pylist() for c in batch.columns)):
+                length, rare = int(passages.lengths[k]), rarity[passages.begins[k] : passages.begins[k + 1]]
+                kept = []
+                for start, mine in zip(position, held):
+                    matched = np.intersect1d(mine, places)
+                    if not (_short(len(mine), length, m) and rare[matched].mean() < m.common):
+                        kept.append((start, mine))
+                share = len({w for _, mine in kept[:2] for w in mine}) / length
+                if share >= m.share:
+                    out += [(doc, item, share, len(kept[:2]), kept[0][0]) for item in passages.items[k]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc", "item", "held", "pieces", "position"])
+
+    return found.mapInArrow(run, _FOUND)
 
 
 def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, matching: Matching = Matching()) -> DataFrame:
@@ -265,7 +302,8 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     passage of fewer words than a phrase is matched by none. Other columns are ignored.
 
     The passages are read on the driver in blocks of up to ``most`` words; each block is matched
-    against all documents. Counts of phrases for their rarity cover all documents.
+    against all documents. Counts of phrases for their rarity cover all documents that do not hold
+    the share of the passage.
     """
     rows = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("bigint"), passage)
     blocks: list[list[tuple[int, str]]] = [[]]
@@ -281,13 +319,14 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     for block in blocks:
         passages = _Passages(block, matching.phrase)
         index = materialize(build_index(documents, doc, text, passages.terms))
-        found = _search(index, passages, _rarity(index, passages), matching)
+        pieces = materialize(_search(index, passages, matching))
+        found = _decide(pieces, passages, _rarity(index, pieces, passages), matching)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _rarity(index: DataFrame, passages: _Passages) -> np.ndarray:
-    """For each phrase 1 if one document has it, down to 0.25 if all have; the result is as long as the passages."""
+def _rarity(index: DataFrame, pieces: DataFrame, passages: _Passages) -> np.ndarray:
+    """For each place of the passages 1 if at most one document has its phrase without holding the passage, down to 0.25 if all have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, documents = np.zeros(len(passages.codes) + 1, np.int64), 0
@@ -303,4 +342,8 @@ def _rarity(index: DataFrame, passages: _Passages) -> np.ndarray:
     counts = np.zeros(len(passages.codes) + 1, np.int64)
     counts[totals.column(0).to_numpy()] = totals.column(1).to_numpy()
     n = max(2, int(counts[-1]))
-    return np.maximum(0.25, 1 - np.log(np.maximum(1, counts[:-1])) / math.log(n))
+    outside = np.zeros(passages.begins[-1], np.int64)
+    outside[passages.begins[passages.passage] + passages.place] = np.repeat(counts[:-1], passages.last - passages.first)
+    holding = pieces.select("passage", F.explode("places").alias("place")).groupBy("passage", "place").agg(F.count("*").alias("n")).toArrow()
+    outside[passages.begins[holding.column(0).to_numpy()] + holding.column(1).to_numpy()] -= holding.column(2).to_numpy()
+    return np.maximum(0.25, 1 - np.log(np.maximum(1, outside)) / math.log(n))
