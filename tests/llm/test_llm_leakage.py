@@ -1,6 +1,8 @@
 import random
 
-from tickloom.llm.leakage import Matching, leaks, words
+import numpy as np
+
+from tickloom.llm.leakage import Matching, _Passages, leaks, words
 
 RNG = random.Random(8)
 VOCABULARY = ["".join(RNG.choice("bdfgklmprst") + RNG.choice("aeiou") for _ in range(3)) for _ in range(300)]
@@ -77,6 +79,24 @@ def test_copies_do_not_make_their_own_leak_common(spark):
     assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {*((k, 1) for k in range(40)), *((k, 2) for k in range(40, 65)), (65, 1)}
 
 
+def test_lists_are_intersected_from_the_rarest_term_on():
+    rng = random.Random(6)
+    few = VOCABULARY[:12]
+    passages = _Passages([(k, " ".join(rng.choice(few) for _ in range(40))) for k in range(5)], 3)
+    documents = np.array([rng.randrange(100) for _ in passages.terms])
+    passages.start_from_rarest(documents)
+    for term in range(len(documents)):
+        led = passages.words[passages.by_rarest[passages.led[term] : passages.led[term + 1]]]
+        assert (documents[led].min(axis=1) == documents[term]).all()
+    known = {tuple(w): k for k, w in enumerate(passages.words.tolist())}
+    for n in (0, 1, 2, 3, 400):
+        ids = [rng.randrange(-1, len(documents)) for _ in range(n)]
+        lists = sorted((t, k) for k, t in enumerate(ids) if t >= 0)
+        terms, positions = (np.array([x[i] for x in lists], np.int32) for i in (0, 1))
+        got = sorted(zip(*(x.tolist() for x in passages.phrases_in(terms, positions))))
+        assert got == [(k, known[tuple(ids[k : k + 3])]) for k in range(n - 2) if tuple(ids[k : k + 3]) in known]
+
+
 def test_empty_tables(spark):
     p = " ".join(passage(50, 9))
     assert found(spark, [], [(1, p)]) == set() and found(spark, [p], []) == set()

@@ -4,7 +4,7 @@ Every document becomes a posting list of the terms it shares with the test passa
 positions; the index is partitioned by document, so no term gathers its documents and nothing of
 a text is shuffled. The passages, a bounded table, go to every partition. There the lists of
 adjacent terms are intersected after adjusting by their offsets, which gives the places of exact
-phrases; phrases are taken from the rarest in the corpus on. Matches that follow each other in
+phrases, each from the list of its rarest term in the corpus on. Matches that follow each other in
 document and passage are chained across gaps, so that a passage is found when other matter stands
 in between.
 """
@@ -90,6 +90,15 @@ class _Passages:
         self.codes, self.first = np.unique(every, return_index=True)
         self.last = np.r_[self.first[1:], len(every)]
         self.begins = np.r_[0, np.cumsum(self.lengths)]
+        self.words = np.array([self.ids[self.passage[i]][self.place[i] : self.place[i] + phrase] for i in self.first], np.int64).reshape(-1, phrase)
+        self.start_from_rarest(np.zeros(len(self.terms), np.int64))
+
+    def start_from_rarest(self, documents: np.ndarray) -> None:
+        """Order the terms of each phrase by the number of documents that have them, phrases by their rarest."""
+        self.order = np.argsort(documents[self.words], axis=1, kind="stable") if len(self.words) else np.zeros((0, self.phrase), np.int64)
+        rarest = np.take_along_axis(self.words, self.order, 1)[:, 0]
+        self.by_rarest = np.argsort(rarest, kind="stable")
+        self.led = np.searchsorted(rarest[self.by_rarest], np.arange(len(self.terms) + 1))
 
     def encode(self, ids: np.ndarray) -> np.ndarray:
         """A number for each phrase; negative where a term is none of the passages'."""
@@ -107,13 +116,28 @@ class _Passages:
                 out = out * np.uint64(base) + np.where(part >= 0, part + 1, 0).astype(np.uint64)
         return np.where(known, (out & np.uint64(2**63 - 1)).astype(np.int64), -1)
 
-    def phrases_in(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of phrases in a document and the phrases' numbers."""
-        codes = self.encode(ids)
-        at = np.searchsorted(self.codes, codes)
-        at[at == len(self.codes)] = 0
-        hit = np.flatnonzero((codes >= 0) & (self.codes[at] == codes)) if len(self.codes) else np.zeros(0, np.int64)
-        return hit, at[hit]
+    def phrases_in(self, terms: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of phrases in a document and the phrases' numbers, by intersection of its lists.
+
+        Each list is taken for the phrases of which its term is the rarest, and less the offsets of
+        the terms intersected with the next rarer lists. Lists are in order of term, then position.
+        """
+        lists = terms.astype(np.int64) << 32 | positions
+        n = self.led[terms + 1] - self.led[terms]
+        slot = np.repeat(self.led[terms] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        which = self.by_rarest[slot]
+        at = np.repeat(positions, n) - self.order[which, 0]
+        has = np.zeros(len(self.terms), bool)
+        has[terms] = True
+        some = np.flatnonzero(has[self.words[which]].all(axis=1))
+        which, at = which[some], at[some]
+        for k in range(1, self.phrase):
+            offset = self.order[which, k]
+            wanted = (self.words[which, offset] << 32) + at + offset
+            found = np.searchsorted(lists, wanted)
+            some = np.flatnonzero(lists[np.minimum(found, len(lists) - 1)] == wanted) if len(lists) else found
+            which, at = which[some], at[some]
+        return at, which
 
 
 def build_index(documents: DataFrame, doc: str, text: str, terms: dict[str, int]) -> DataFrame:
@@ -138,16 +162,12 @@ def build_index(documents: DataFrame, doc: str, text: str, terms: dict[str, int]
     return rows.mapInArrow(run, "doc bigint, n_words int, terms array<int>, positions array<int>")
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    """Documents with their terms in order of position, -1 for other words."""
-    ids, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    terms, positions = batch.column(2), batch.column(3)
-    ends = terms.offsets.to_numpy()
-    flat, places = terms.values.to_numpy(), positions.values.to_numpy()
-    for k, (doc, n) in enumerate(zip(ids, counts)):
-        row = np.full(n, -1, np.int64)
-        row[places[ends[k] : ends[k + 1]]] = flat[ends[k] : ends[k + 1]]
-        yield doc, row
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Documents with their lists: terms, positions."""
+    ends = batch.column(2).offsets.to_numpy()
+    flat, places = batch.column(2).values.to_numpy(), batch.column(3).values.to_numpy()
+    for k, doc in enumerate(batch.column(0).to_pylist()):
+        yield doc, flat[ends[k] : ends[k + 1]], places[ends[k] : ends[k + 1]]
 
 
 def _runs(at: np.ndarray, place: np.ndarray, phrase: int, hole: int) -> list[tuple[int, int, int, int]]:
@@ -247,8 +267,8 @@ def _search(index: DataFrame, passages: _Passages, m: Matching) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for doc, ids in _documents(batch):
-                where, which = passages.phrases_in(ids)
+            for doc, terms, positions in _documents(batch):
+                where, which = passages.phrases_in(terms, positions)
                 if not len(where):
                     continue
                 n = per[which]
@@ -319,21 +339,40 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     for block in blocks:
         passages = _Passages(block, matching.phrase)
         index = materialize(build_index(documents, doc, text, passages.terms))
+        passages.start_from_rarest(_frequencies(index, len(passages.terms)))
         pieces = materialize(_search(index, passages, matching))
         found = _decide(pieces, passages, _rarity(index, pieces, passages), matching)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _frequencies(index: DataFrame, terms: int) -> np.ndarray:
+    """The number of documents that have each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(terms, np.int64)
+        for batch in batches:
+            for _, own, _ in _documents(batch):
+                if len(own):
+                    counts[own[np.r_[True, own[1:] != own[:-1]]]] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
+
+    totals = index.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(terms, np.int64)
+    counts[totals.column(0).to_numpy()] = totals.column(1).to_numpy()
+    return counts
+
+
 def _rarity(index: DataFrame, pieces: DataFrame, passages: _Passages) -> np.ndarray:
     """For each place of the passages 1 if at most one document has its phrase without holding the passage, down to 0.25 if all have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, documents = np.zeros(len(passages.codes) + 1, np.int64), 0
         for batch in batches:
-            for _, ids in _documents(batch):
+            for _, terms, positions in _documents(batch):
                 documents += 1
-                counts[np.unique(passages.phrases_in(ids)[1])] += 1
+                counts[np.unique(passages.phrases_in(terms, positions)[1])] += 1
         counts[-1] = documents
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["phrase", "n"])
