@@ -62,6 +62,16 @@ def test_blocks_change_nothing(spark):
     assert split.groupBy("key", "block").count().agg(F.max("count")).first()[0] < 200
 
 
+def test_false_values_at_the_start_of_a_series(spark):
+    a, b, c = walk(100, 5), walk(100, 6), walk(100, 7)
+    a[0][0] *= 10
+    for i in range(3):
+        b[i][0] /= 10
+    for i in range(4):
+        c[i][0] *= 10  # too long for a spike
+    assert flags(frame(spark, {"a": a, "b": b, "c": c})) == {(0, "price"): "spike", **{(i * 100 + 1, "price"): "spike" for i in range(3)}}
+
+
 def test_rows_of_a_reading_are_judged_each(spark):
     values = walk(100)
     wrong = (T0 + timedelta(hours=7 * 40), 777, values[40][0] * 20, values[40][1])

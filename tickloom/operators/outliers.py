@@ -3,7 +3,8 @@
 Per source and measure a robust autoregression of the changes of the logarithm gives what the
 readings before and after let expect. A patch of up to ``patch`` readings that departs from both
 by more than ``spike`` robust deviations is an additive outlier; one that departs only from what
-came before is a level shift and stays. The strongest patch of a neighbourhood is taken out and
+came before is a level shift and stays. A patch at the very start is held against what
+follows and the median of the next six elements alone. The strongest patch of a neighbourhood is taken out and
 the test repeated until none is left. Runs of an equal value and impossible values are tested
 apart.
 """
@@ -24,6 +25,8 @@ from tickloom.session import materialize
 #: Bins of the mergeable histograms: logarithms of absolute changes, ratios of successive changes.
 _CHANGE = np.arange(-20.0, 20.01, 0.1)
 _RATIO = np.arange(-2.0, 2.01, 0.05)
+#: Stands for a null time.
+_UNTIMED = -(2**62)
 
 
 @dataclass(frozen=True)
@@ -155,6 +158,10 @@ def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold:
             score[reading[k : k + m] - reading[1 : m + 1] >= patch] = 0
             better = score > best[1 : m + 1] * 1.0001
             best[1 : m + 1][better], length[1 : m + 1][better] = score[better], k
+            if n >= k + 6 and t[0] > _UNTIMED and reading[k - 1] - reading[0] < patch:  # at the start only what follows tells
+                first = max(low[0] - max(behind[k], y[k]), min(behind[k], y[k]) - high[0])
+                if first > best[0] * 1.0001:
+                    best[0], length[0] = first, k
         candidates = [i for i in np.flatnonzero(best > threshold * scale) if _stands_out(y, i, length[i], max(best[i] / 2, 0.75 * threshold * scale))]
         if not candidates:
             return marked
@@ -209,7 +216,7 @@ def _judge(ts, value, own, measure: Measure, limits: Limits, given) -> np.ndarra
 
 def _arrays(group: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     columns = [group.column(n).cast(pa.float64()).to_numpy() for n in names]
-    return group.column("ts").cast(pa.int64()).fill_null(-(2**62)).to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
+    return group.column("ts").cast(pa.int64()).fill_null(_UNTIMED).to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
 
 
 def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[str], measures: Sequence[Measure], limits: Limits = Limits()) -> DataFrame:
