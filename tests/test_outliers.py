@@ -72,6 +72,14 @@ def test_false_values_at_the_start_of_a_series(spark):
     assert flags(frame(spark, {"a": a, "b": b, "c": c})) == {(0, "price"): "spike", **{(i * 100 + 1, "price"): "spike" for i in range(3)}}
 
 
+def test_a_null_key_in_blocks_is_judged_by_all_its_rows(spark):
+    values = walk(150, 8, 0.001) + walk(250, 9, 0.01)
+    for i in (40, 70, 100):
+        values[i][0] *= 1.03  # much for its neighbours, not for the whole
+    small = Limits(size=60, margin=40)
+    assert flags(frame(spark, {None: values}), small) == flags(frame(spark, {"a": values}), small) == {}
+
+
 def test_rows_of_a_reading_are_judged_each(spark):
     values = walk(100)
     wrong = (T0 + timedelta(hours=7 * 40), 777, values[40][0] * 20, values[40][1])

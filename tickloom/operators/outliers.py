@@ -269,7 +269,7 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["_key", "given"])
 
     # only keys in several blocks need the summaries of all of them; those have a bounded number of bins
-    hot = rows.join(places.select(F.col("_key").alias("key")).distinct(), "key", "left_semi")
+    hot = rows.join(places.select("_key").distinct(), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
     given = materialize(
         in_blocks(hot, places, "key", hour).repartition("key", "block").sortWithinPartitions(*sort).select(*columns)
         .mapInArrow(summaries, "key string, measure string, what string, bin bigint, n bigint")
