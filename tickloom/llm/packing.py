@@ -1,9 +1,9 @@
 """Documents into containers of a fixed number of tokens.
 
 Lengths are whole numbers up to the capacity, so a histogram with one entry per length describes
-all documents. Documents are routed to tiers of context sizes; on the histogram containers are
-opened for the longest tier first, their gaps are filled from the tiers below, and each kind of
-filling is repeated as often as the counts allow. The plan is as long as the capacity lets it be,
+all documents. On the histogram containers are opened with the longest length left and filled with
+the longest that fits, and each kind of filling is repeated as often as the counts allow; tiers of
+context sizes do not change this. The plan is as long as the capacity lets it be,
 however many documents there are; documents find their places by their rank among those of equal
 length.
 """
@@ -65,8 +65,8 @@ class Plan:
 def plan(counts: dict[int, int], capacity: int, tiers: tuple[int, ...]) -> Plan:
     """A packing of ``counts[length]`` items of each length from 1 to ``capacity``.
 
-    Tiers are taken from the longest. A container is opened with the longest item left of the
-    tier and filled with the longest that fits, first of the same tier, then of those below.
+    A container is opened with the longest item left and filled with the longest that fits.
+    ``tiers`` only split the loop and do not change the plan.
     """
     left = {k: n for k, n in counts.items() if n > 0}
     lengths = sorted(left)
