@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import hot_places, in_blocks
+from tickloom.operators.blocks import hot_keys, hot_places, in_blocks
 from tickloom.operators.outliers import Limits, Measure, flag_readings
 
 T0 = datetime(2024, 1, 1, 15)
@@ -25,6 +25,10 @@ def frame(spark, by_key, extra=()):
 
 
 def flags(df, limits=Limits()):
+    return {k: v for k, v in everything(df, limits).items() if v != "shift"}
+
+
+def everything(df, limits=Limits()):
     return {(r.row, r.measure): r.kind for r in flag_readings(df, "key", "ts", "row", ["row"], [PRICE, VOLUME], limits).collect()}
 
 
@@ -52,16 +56,52 @@ def test_planted_values_are_found(spark):
     assert flags(frame(spark, by_key)) == want
 
 
+def test_level_shifts_are_told_from_spikes(spark):
+    by_key, want = planted()
+    got = everything(frame(spark, by_key))
+    shifts = {k for k, v in got.items() if v == "shift"}
+    assert (15000, "price") in shifts and shifts <= {(15000, "price"), (20001, "price"), (20401, "price")}
+
+
 def test_blocks_change_nothing(spark):
     by_key, want = planted()
     df = frame(spark, by_key)
-    assert flags(df, Limits(size=60, margin=40)) == want
-    places = hot_places(df, "key", F.to_date("ts"), 60, 40)
-    split = in_blocks(df.drop("block"), places, "key", F.to_date("ts"))
+    whole = everything(df, Limits(size=10**9))
+    assert {k: v for k, v in whole.items() if v != "shift"} == want
+    for size, margin in ((60, 40), (97, 50), (150, 30)):
+        assert everything(df, Limits(size=size, margin=margin)) == whole
+    rows = df.select("key", F.unix_micros("ts").alias("ts"))
+    assert {r[0] for r in hot_keys(rows, "key", 200).collect()} == {"b", "c"}
+    places = hot_places(rows, "key", F.floor(F.col("ts") / 86_400_000_000), 60, 40)
+    split = in_blocks(rows, places, "key", F.floor(F.col("ts") / 86_400_000_000))
     assert split.where("own").count() == df.count() and split.select("block").distinct().count() > 3
     assert split.groupBy("key", "block").count().agg(F.max("count")).first()[0] < 200
 
 
+def test_stuck_runs_reach_over_any_number_of_blocks(spark):
+    values = walk(2600, 11)
+    for first, n in ((480, 130), (900, 1300), (2590, 10)):  # over one edge, over several whole blocks, up to the end
+        for i in range(first, first + n):
+            values[i][0] = values[first][0]
+    values[1500] = [None, None]  # a null does not end a run
+    df = frame(spark, {"a": values})
+    whole = everything(df, Limits(size=10**9))
+    stuck = {k for k, v in whole.items() if v == "stuck"}
+    assert stuck == {(i * 100, "price") for first, n in ((480, 130), (900, 1300), (2590, 10)) for i in range(first + 1, first + n) if i != 1500}
+    for size, margin in ((500, 40), (333, 100), (1000, 20)):
+        assert everything(df, Limits(size=size, margin=margin)) == whole
+
+
+def test_a_heavy_tail_of_its_own_raises_the_threshold(spark):
+    rng, x, values = random.Random(12), 100.0, []
+    for _ in range(3000):  # now and then a reading far off, as this source is used to
+        x *= math.exp(rng.gauss(0, 0.001))
+        values.append([round(x * math.exp(0.001 * min(12.0, rng.paretovariate(1.0))), 6), int(math.exp(rng.gauss(10, 0.5)))])
+    assert len(flags(frame(spark, {"a": values}))) < 3
+    values[1000][0] *= 2
+    assert flags(frame(spark, {"a": values}))[(100000, "price")] == "spike"
+
+
 def test_false_values_at_the_start_of_a_series(spark):
     a, b, c = walk(100, 5), walk(100, 6), walk(100, 7)
     a[0][0] *= 10

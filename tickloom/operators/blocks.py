@@ -11,41 +11,62 @@ from pyspark.sql import functions as F
 
 from tickloom.session import materialize
 
+#: Slots of a place share a coarser slot of this many, so that rows find their place by an equal value.
+SPAN = 24
+
+
+def hot_keys(df: DataFrame, key: str, size: int) -> DataFrame:
+    """The keys with more than ``size`` rows, ``(_key)``; of ``df`` only the keys are read. Written, so that their size is known where they are joined."""
+    return materialize(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_all")).where(F.col("_all") > size).select("_key"))
+
 
 def hot_places(df: DataFrame, key: str, slot: Column, size: int, margin: int) -> DataFrame:
-    """Where the slots of keys with more than ``size`` rows go: ``(_key, _slot, _home, _blocks)``.
-
-    A key is cut along ``slot``, a coarse time: a new block begins with the first slot after each
-    ``size`` rows; whole slots with at least ``margin`` rows on either side (all there are, if
-    fewer) go to the neighbour too. Rows are counted by key, those of large keys by slot, before
-    they are ordered, so a hot key gathers only its slots, whose number the calendar bounds. ``margin`` must not exceed ``size``. Null
-    slots sort first; null keys are one key. The result has a row per slot of the hot keys and is
-    written once, so that its size is known where it is joined.
+    """Where the slots of the keys of ``df`` go: ``(_key, _span, _from, _to, _home, _blocks)``.
+
+    A key is cut along ``slot``, a whole number that grows with time, such as an hour: a new block
+    begins with the first slot after each ``size`` rows; whole slots with at least ``margin`` rows on
+    either side (all there are, if fewer) go to the neighbour too. Rows are counted by slot before
+    they are ordered, so a hot key gathers only its slots, whose number the calendar bounds. Slots
+    that go to the same blocks make one row per ``SPAN`` slots, from ``_from`` to ``_to``. ``margin``
+    must not exceed ``size``; neither key nor slot may be null.
     """
-    large = materialize(df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_all")).where(F.col("_all") > size).select("_key"))
-    rows = df.select(F.col(key).alias("_named"), slot.alias("_slot")).join(large, F.col("_named").eqNullSafe(F.col("_key")))
-    counts = rows.groupBy("_key", "_slot").agg(F.count("*").alias("_n"))
+    counts = df.groupBy(F.col(key).alias("_key"), slot.cast("bigint").alias("_slot")).agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0))
-    hot = counts.withColumn("_to", upto).withColumns({"_from": F.col("_to") - F.col("_n"), "_home": F.floor((F.col("_to") - F.col("_n")) / size).cast("int")})
+    hot = counts.withColumn("_upto", upto).withColumns({"_first": F.col("_upto") - F.col("_n"), "_home": F.floor((F.col("_upto") - F.col("_n")) / size)})
     inside = Window.partitionBy("_key", "_home")
-    hot = hot.withColumns({"_first": F.min("_from").over(inside), "_last": F.max("_to").over(inside)})
+    hot = hot.withColumns({"_begin": F.min("_first").over(inside), "_end": F.max("_upto").over(inside)})
     # blocks are numbered without holes, so that the neighbour is one away
     hot = hot.withColumn("_home", F.dense_rank().over(Window.partitionBy("_key").orderBy("_home")) - 1)
     near = F.array(
-        F.when((F.col("_from") < F.col("_first") + margin) & (F.col("_home") > 0), F.col("_home") - 1),
-        F.when(F.col("_to") > F.col("_last") - margin, F.col("_home") + 1),
+        F.when((F.col("_first") < F.col("_begin") + margin) & (F.col("_home") > 0), F.col("_home") - 1),
+        F.when(F.col("_upto") > F.col("_end") - margin, F.col("_home") + 1),
     )
-    return materialize(hot.select("_key", "_slot", "_home", F.array_compact(F.concat(F.array("_home"), near)).alias("_blocks")))
+    placed = hot.withColumn("_blocks", F.array_compact(F.concat(F.array("_home"), near))).withColumn("_span", F.floor(F.col("_slot") / SPAN))
+    return materialize(placed.groupBy("_key", "_span", "_home", "_blocks").agg(F.min("_slot").alias("_from"), F.max("_slot").alias("_to")))
 
 
 def in_blocks(df: DataFrame, places: DataFrame, key: str, slot: Column) -> DataFrame:
-    """Each row with its ``block``, and a copy (``own`` false) for each block whose margin it is in.
+    """Each row with its ``block``, and a copy (``own`` false) for each block whose margin it is in."""
+    named = df.withColumn("_slot", slot.cast("bigint"))
+    on = (F.col(key) == F.col("_key")) & (F.floor(F.col("_slot") / SPAN) == F.col("_span")) & F.col("_slot").between(F.col("_from"), F.col("_to"))
+    placed = named.join(places, on).select(*df.columns, "_home", F.explode("_blocks").alias("block"))
+    return placed.select(*df.columns, "block", (F.col("block") == F.col("_home")).alias("own"))
+
 
-    Rows of keys without places are in block 0.
+def joined_runs(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of an equal value that reach over the edges of blocks: ``edges`` with ``run``, ``before`` and ``total``.
+
+    ``edges`` has for each of ``keys`` and ``block`` the ``value`` and length ``n`` of the run at its
+    beginning (``side`` 0) and, if that is not the whole block, of that at its end (``side`` 1).
+    ``run`` numbers runs within the keys, ``before`` is the part of a run in earlier blocks, ``total``
+    its length in all. A key gathers two small rows per block.
     """
-    joined = df.withColumn("_slot", slot).join(places.withColumnRenamed("_slot", "_at"), F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_at")), "left")
-    placed = joined.select(*df.columns, F.coalesce("_home", F.lit(0)).alias("_home"), F.explode(F.coalesce("_blocks", F.array(F.lit(0)))).alias("block"))
-    return placed.select(*df.columns, "block", (F.col("block") == F.col("_home")).alias("own"))
+    order = Window.partitionBy(*keys).orderBy("block", "side")
+    new = F.when((F.col("side") == 0) & (F.lag("value").over(order) == F.col("value")), 0).otherwise(1)
+    runs = edges.withColumn("_new", new).withColumn("run", F.sum("_new").over(order)).drop("_new")
+    same = Window.partitionBy(*keys, "run")
+    earlier = same.orderBy("block", "side").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("bigint")), "total": F.sum("n").over(same)})
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -1,12 +1,14 @@
 """Readings that cannot be right against the usual behaviour of their own source.
 
 Per source and measure a robust autoregression of the changes of the logarithm gives what the
-readings before and after let expect. A patch of up to ``patch`` readings that departs from both
-by more than ``spike`` robust deviations is an additive outlier; one that departs only from what
-came before is a level shift and stays. A patch at the very start is held against what
-follows and the median of the next six elements alone. The strongest patch of a neighbourhood is taken out and
-the test repeated until none is left. Runs of an equal value and impossible values are tested
-apart.
+readings before and after let expect. Two tests are repeated until neither finds more: a patch of up
+to ``patch`` readings that departs from both sides is an additive outlier, taken out strongest first;
+an element that departs from what came before, and whose level is kept by what follows, is a level
+shift and begins a new stretch. Then the autoregression is fitted again without them, and the tests
+are made anew. How far a departure must reach comes from the tail of the source's own departures,
+but is never less than the measure's ``spike``. A patch at the very start is held against what
+follows and the median of the next six elements alone. Runs of an equal value and impossible values
+are tested apart.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import hot_places, in_blocks, sorted_groups
+from tickloom.operators.blocks import hot_keys, hot_places, in_blocks, joined_runs, sorted_groups
 from tickloom.session import materialize
 
-#: Bins of the mergeable histograms: logarithms of absolute changes, ratios of successive changes.
+#: Bins of the mergeable histograms: logarithms of absolute changes, ratios of successive changes,
+#: logarithms of departures in robust deviations.
 _CHANGE = np.arange(-20.0, 20.01, 0.1)
 _RATIO = np.arange(-2.0, 2.01, 0.05)
+_DEPARTURE = np.arange(-5.0, 10.01, 0.05)
 #: Stands for a null time.
 _UNTIMED = -(2**62)
 
 
 @dataclass(frozen=True)
 class Measure:
-    """One measured column: whether zero is possible, and its threshold in robust deviations."""
+    """One measured column: whether zero is possible, and its least threshold in robust deviations."""
 
     name: str
     zero: bool
@@ -43,7 +47,8 @@ class Limits:
     """``patch``: most readings of a spike. ``least``: least changes to judge by; with fewer only impossible values are flagged.
 
     A run of at least ``run`` equal non-zero readings is stuck if fewer than ``rare`` such runs
-    are to be expected and it is ``longer`` times as long as the longest run that is not.
+    are to be expected and it is ``longer`` times as long as the longest run that is not. Blocks of
+    ``size`` rows and their ``margin`` say how sources are spread, not what is found.
     """
 
     patch: int = 3
@@ -55,14 +60,25 @@ class Limits:
     margin: int = 500
 
 
-def _median(histogram: np.ndarray, edges: np.ndarray) -> float:
+@dataclass(frozen=True)
+class Fit:
+    """The autoregression of one source and measure, the threshold of a spike, the least length of a stuck run."""
+
+    scale: float
+    phi: float
+    threshold: float
+    least: float
+
+
+def _median(histogram: np.ndarray, edges: np.ndarray, at_share: float = 0.5) -> float:
+    """The median, or another quantile, of what a histogram counts."""
     total = histogram.sum()
     if not total:
         return float("nan")
     cumulative = np.cumsum(histogram)
-    at = int(np.searchsorted(cumulative, total / 2))
+    at = int(np.searchsorted(cumulative, total * at_share))
     before = cumulative[at] - histogram[at]
-    return float(edges[at] + (edges[at + 1] - edges[at]) * (total / 2 - before) / histogram[at])
+    return float(edges[at] + (edges[at + 1] - edges[at]) * (total * at_share - before) / histogram[at])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,23 +87,30 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(values)])
 
 
-def _summary(ts: np.ndarray, value: np.ndarray, own: np.ndarray, positive: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Histograms of changes and of their ratios, and the number of runs by length, of the own readings."""
-    last = np.r_[ts[1:] != ts[:-1], True] if len(ts) else np.zeros(0, bool)
-    v, mine, good = value[last], own[last], positive[last]
-    x, m = np.log(v[good]), mine[good]
+def _last_rows(ts: np.ndarray) -> np.ndarray:
+    """Marks the last row of each reading."""
+    return np.r_[ts[1:] != ts[:-1], True] if len(ts) else np.zeros(0, bool)
+
+
+def _counted(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.histogram(np.clip(x, edges[0], edges[-1]), edges)[0]
+
+
+def _changes(x: np.ndarray, mine: np.ndarray, shifted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms of the changes of ``x`` into the elements ``mine`` and of their ratios; a change that begins a level is none."""
     change = np.diff(x)
-    moved = (change != 0) & m[1:]
-    sizes = np.histogram(np.clip(np.log(np.abs(change[moved])), _CHANGE[0], _CHANGE[-1]), _CHANGE)[0]
-    pair = (change[:-1] != 0) & m[2:]
-    ratios = np.histogram(np.clip(change[1:][pair] / change[:-1][pair], _RATIO[0], _RATIO[-1]), _RATIO)[0]
-    lengths: dict[int, int] = {}
-    if len(v):
-        starts, n = _runs(v)
-        chosen = (v[starts] != 0) & mine[starts]
-        kinds, counts = np.unique(n[chosen], return_counts=True)
-        lengths = dict(zip(kinds.tolist(), counts.tolist()))
-    return sizes, ratios, lengths
+    usual = mine[1:] if shifted is None else mine[1:] & ~shifted[1:]
+    pair = (change[:-1] != 0) & usual[1:]
+    return _counted(np.log(np.abs(change[(change != 0) & usual])), _CHANGE), _counted(change[1:][pair] / change[:-1][pair], _RATIO)
+
+
+def _lengths(values: np.ndarray) -> dict[int, int]:
+    """The number of runs of a non-zero value by length."""
+    if not len(values):
+        return {}
+    starts, n = _runs(values)
+    kinds, counts = np.unique(n[values[starts] != 0], return_counts=True)
+    return dict(zip(kinds.tolist(), counts.tolist()))
 
 
 def _longest_usual(lengths: dict[int, int], limits: Limits) -> float:
@@ -127,100 +150,234 @@ def _longest_usual(lengths: dict[int, int], limits: Limits) -> float:
     return least
 
 
-def _stands_out(y: np.ndarray, first: int, length: int, by: float) -> bool:
-    """Whether a patch departs from the middle of its wider neighbourhood too; a sound reading between two odd ones does not."""
-    around = np.r_[y[max(0, first - 6) : first], y[first + length : first + length + 6]]
-    return abs(np.median(y[first : first + length]) - np.median(around)) > by
+def _departures(t: np.ndarray, y: np.ndarray, phi: float, patch: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the patch that begins at each element departs from what both sides let expect, and its length."""
+    n = len(y)
+    reading = np.cumsum(np.r_[0, t[1:] != t[:-1]])
+    ahead = np.r_[y[:1], y[1:] + phi * np.diff(y)]  # what is expected after each element
+    behind = np.r_[y[:-1] - phi * np.diff(y), y[-1:]]  # and before it
+    best, length = np.zeros(n), np.zeros(n, int)
+    low, high = y.copy(), y.copy()
+    for k in range(1, 2 * patch + 1):
+        m = n - k - 1  # patches of k elements from 1 on that have a neighbour on both sides
+        if m < 1:
+            break
+        if k > 1:
+            low, high = np.minimum(low[: n - k + 1], y[k - 1 :]), np.maximum(high[: n - k + 1], y[k - 1 :])
+        before, after = ahead[:m], behind[k + 1 :]
+        score = np.maximum(low[1 : m + 1] - np.maximum(before, after), np.minimum(before, after) - high[1 : m + 1])
+        score[reading[k : k + m] - reading[1 : m + 1] >= patch] = 0
+        better = score > best[1 : m + 1] * 1.0001
+        best[1 : m + 1][better], length[1 : m + 1][better] = score[better], k
+        if n >= k + 6 and t[0] > _UNTIMED and reading[k - 1] - reading[0] < patch:  # at the start only what follows tells
+            first = max(low[0] - max(behind[k], y[k]), min(behind[k], y[k]) - high[0])
+            if first > best[0] * 1.0001:
+                best[0], length[0] = first, k
+    return best, length
+
+
+def _stands_out(y: np.ndarray, stretch: np.ndarray, first: int, length: int, by: float) -> bool:
+    """Whether a patch departs from the middle of its wider neighbourhood too; a sound reading between two odd ones does not.
+
+    The neighbourhood does not reach over a level shift unless fewer than three elements are left.
+    """
+    around = np.r_[max(0, first - 6) : first, first + length : min(len(y), first + length + 6)]
+    level = around[stretch[around] == stretch[first]]
+    return abs(np.median(y[first : first + length]) - np.median(y[level if len(level) > 2 else around])) > by
 
 
-def _spikes(ts: np.ndarray, x: np.ndarray, scale: float, phi: float, threshold: float, patch: int) -> np.ndarray:
-    """Marks the additive outliers among the elements ``(ts, x)``."""
-    marked = np.zeros(len(x), bool)
+def _outliers(t: np.ndarray, x: np.ndarray, marked: np.ndarray, shifted: np.ndarray, fit: Fit, patch: int) -> bool:
+    """Mark additive outliers among the elements until none is left; whether there were any."""
+    any_found = False
     while True:
         at = np.flatnonzero(~marked)
         n = len(at)
         if n < 3:
-            return marked
-        y, t = x[at], ts[at]
-        reading = np.cumsum(np.r_[0, t[1:] != t[:-1]])
-        ahead = np.r_[y[:1], y[1:] + phi * np.diff(y)]  # what is expected after each element
-        behind = np.r_[y[:-1] - phi * np.diff(y), y[-1:]]  # and before it
-        best, length = np.zeros(n), np.zeros(n, int)
-        low, high = y.copy(), y.copy()
-        for k in range(1, 2 * patch + 1):
-            m = n - k - 1  # patches of k elements from 1 on that have a neighbour on both sides
-            if m < 1:
-                break
-            if k > 1:
-                low, high = np.minimum(low[: n - k + 1], y[k - 1 :]), np.maximum(high[: n - k + 1], y[k - 1 :])
-            before, after = ahead[:m], behind[k + 1 :]
-            score = np.maximum(low[1 : m + 1] - np.maximum(before, after), np.minimum(before, after) - high[1 : m + 1])
-            score[reading[k : k + m] - reading[1 : m + 1] >= patch] = 0
-            better = score > best[1 : m + 1] * 1.0001
-            best[1 : m + 1][better], length[1 : m + 1][better] = score[better], k
-            if n >= k + 6 and t[0] > _UNTIMED and reading[k - 1] - reading[0] < patch:  # at the start only what follows tells
-                first = max(low[0] - max(behind[k], y[k]), min(behind[k], y[k]) - high[0])
-                if first > best[0] * 1.0001:
-                    best[0], length[0] = first, k
-        candidates = [i for i in np.flatnonzero(best > threshold * scale) if _stands_out(y, i, length[i], max(best[i] / 2, 0.75 * threshold * scale))]
+            return any_found
+        y, stretch = x[at], np.cumsum(shifted)[at]
+        best, length = _departures(t[at], y, fit.phi, patch)
+        candidates = [i for i in np.flatnonzero(best > fit.threshold) if _stands_out(y, stretch, i, length[i], max(best[i] / 2, 0.75 * fit.threshold))]
         if not candidates:
-            return marked
-        candidates = np.array(candidates)
+            return any_found
+        any_found = True
         taken = np.full(n, False)
-        for i in candidates[np.argsort(-best[candidates], kind="stable")]:
+        for i in np.array(candidates)[np.argsort(-best[candidates], kind="stable")]:
             if not taken[max(0, i - 3) : i + length[i] + 3].any():
                 marked[at[i : i + length[i]]] = True
                 taken[max(0, i - 3) : i + length[i] + 3] = True
 
 
-def _parameters(sizes: np.ndarray, ratios: np.ndarray, lengths: dict[int, int], limits: Limits) -> list[float]:
-    """Scale and coefficient of the autoregression and the least length of a stuck run; the scale is NaN with too few changes."""
-    if sizes.sum() < limits.least:
-        return [float("nan"), 0.0, float("inf")]
-    phi = float(np.clip(_median(ratios, _RATIO), -0.5, 0.5)) if ratios.sum() >= limits.least else 0.0
-    scale = 1.4826 * np.exp(_median(sizes, _CHANGE)) * np.sqrt(1 - phi * phi)
-    return [float(scale), phi, float(_longest_usual(lengths, limits))]
+def _shifts(t: np.ndarray, x: np.ndarray, marked: np.ndarray, shifted: np.ndarray, fit: Fit, patch: int) -> bool:
+    """Mark the first elements of new levels; whether there were any.
 
+    The change into the element departs from what came before by the threshold, and so does the
+    middle of the ``2 * patch + 1`` elements from it on from that of as many before, which they are nearer to
+    than the old level. Next to each other only the largest change counts.
+    """
+    at = np.flatnonzero(~marked)
+    wide = 2 * patch + 1
+    y, stretch = x[at], np.cumsum(shifted)[at]
+    n = len(y)
+    if n < 2 * wide:
+        return False
+    change = np.abs(np.r_[0, 0, np.diff(y)[1:] - fit.phi * np.diff(y)[:-1]])
+    found = False
+    taken = np.zeros(n, bool)
+    odd = np.flatnonzero((change > fit.threshold) & ~shifted[at])
+    for i in odd[np.argsort(-change[odd], kind="stable")]:
+        before, after = y[max(0, i - wide) : i][stretch[max(0, i - wide) : i] == stretch[i - 1]], y[i : i + wide]
+        if len(before) < wide // 2 or len(after) < wide // 2 + 1 or taken[max(0, i - wide) : i + wide].any():
+            continue
+        level = np.median(after) - np.median(before)
+        if abs(level) > fit.threshold and abs(y[i] - np.median(after)) < abs(level) / 2:
+            shifted[at[i]] = taken[i] = found = True
+    return found
+
+
+def _marks(t: np.ndarray, x: np.ndarray, fit: Fit, patch: int) -> tuple[np.ndarray, np.ndarray]:
+    """The additive outliers and the level shifts among the elements ``(t, x)``."""
+    marked, shifted = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    while True:
+        some = _outliers(t, x, marked, shifted, fit, patch)
+        if not _shifts(t, x, marked, shifted, fit, patch) and not some:
+            return marked, shifted
+        if not shifted.any():
+            return marked, shifted
 
-def _judge(ts, value, own, measure: Measure, limits: Limits, given) -> np.ndarray:
-    """For each row 0 or what is wrong: 1 impossible, 2 spike, 3 stuck. Rows are in order of ts."""
-    kind = np.zeros(len(value), np.int8)
-    known = ~np.isnan(value)
-    kind[known & ((value < 0) if measure.zero else (value <= 0))] = 1
-    rows = np.flatnonzero(known & (kind == 0))
-    if len(rows) < 3:
-        return kind
-    # an element is a value of a reading, however often it was fetched
-    order = rows[np.lexsort((value[rows], ts[rows]))]
-    fresh = np.r_[True, (ts[order][1:] != ts[order][:-1]) | (value[order][1:] != value[order][:-1])]
-    element = np.cumsum(fresh) - 1
-    et, ev = ts[order][fresh], value[order][fresh]
-    scale, phi, least = given or _parameters(*_summary(ts[rows], value[rows], own[rows], value[rows] > 0), limits)
-    if np.isnan(scale):
+
+class _Readings:
+    """The possible values of one measure in order of time: rows, readings, and elements.
+
+    A reading has one row or several; its last row is its value. An element is a value of a
+    reading, however often it was fetched.
+    """
+
+    def __init__(self, ts: np.ndarray, value: np.ndarray, own: np.ndarray, measure: Measure):
+        known = ~np.isnan(value)
+        self.impossible = known & ((value < 0) if measure.zero else (value <= 0))
+        self.rows = np.flatnonzero(known & ~self.impossible)
+        self.ts, self.value, self.own = ts[self.rows], value[self.rows], own[self.rows]
+        last = _last_rows(self.ts)
+        self.rt, self.rv, self.mine = self.ts[last], self.value[last], self.own[last]
+        self.order = np.lexsort((self.value, self.ts))
+        t, v = self.ts[self.order], self.value[self.order]
+        self.fresh = np.r_[True, (t[1:] != t[:-1]) | (v[1:] != v[:-1])] if len(t) else np.zeros(0, bool)
+        self.element = np.cumsum(self.fresh) - 1
+        self.et, self.ev, self.emine = t[self.fresh], v[self.fresh], self.own[self.order][self.fresh]
+        self.positive = np.flatnonzero(self.ev > 0)
+
+    def first_look(self) -> tuple[np.ndarray, np.ndarray]:
+        """Histograms of all changes of readings."""
+        good = self.rv > 0
+        return _changes(np.log(self.rv[good]), self.mine[good])
+
+    def second_look(self, fit: Fit, patch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Histograms of the changes without outliers and shifts, and of the departures that are none."""
+        t, x, mine = self.et[self.positive], np.log(self.ev[self.positive]), self.emine[self.positive]
+        marked, shifted = _marks(t, x, fit, patch)
+        left = ~marked
+        t, x, mine, shifted = t[left], x[left], mine[left], shifted[left]
+        one = _last_rows(t)
+        sizes, ratios = _changes(x[one], mine[one], shifted[one])
+        best = _departures(t, x, fit.phi, patch)[0] if len(x) > 2 else np.zeros(len(x))
+        return sizes, ratios, _counted(np.log(best[mine & (best > 0)] / fit.scale), _DEPARTURE)
+
+    def marks(self, fit: Fit, patch: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that carry an outlier, and those of which a new level begins."""
+        out = []
+        for some in _marks(self.et[self.positive], np.log(self.ev[self.positive]), fit, patch):
+            bad = np.zeros(len(self.ev), bool)
+            bad[self.positive] = some
+            out.append(self.rows[self.order[bad[self.element]]])
+        return out[0], out[1]
+
+    def edges(self) -> tuple[dict[int, int], list[tuple[int, float, int]]]:
+        """Of the own readings the lengths of runs within, and ``(side, value, length)`` of those at the edges."""
+        v = self.rv[self.mine]
+        if not len(v):
+            return {}, []
+        starts, n = _runs(v)
+        sides = [(0, float(v[0]), int(n[0]))] + ([(1, float(v[-1]), int(n[-1]))] if len(n) > 1 else [])
+        return _lengths(v[starts[1] : starts[-1]]) if len(n) > 2 else {}, sides
+
+    def stuck(self, least: float, edges: dict[int, tuple[int, int]]) -> np.ndarray:
+        """Rows of stuck runs but of their first readings; ``edges`` has by side what of the run is before this block, and its length."""
+        t, v = self.rt[self.mine], self.rv[self.mine]
+        if not len(v) or not np.isfinite(least):
+            return np.zeros(0, int)
+        starts, n = _runs(v)
+        total, before = n.copy(), np.zeros(len(n), np.int64)
+        for side, k in ((1, -1), (0, 0)):
+            if side in edges and (side == 0 or len(n) > 1):
+                before[k], total[k] = edges[side]
+        out = [np.zeros(0, int)]
+        for s, k, all_of_it, earlier in zip(starts, n, total, before):
+            if all_of_it >= least and v[s] != 0:  # a reading carries on the run if any of its rows has the value
+                inside = (self.ts >= t[s]) & (self.ts <= t[s + k - 1]) & (self.value == v[s])
+                if not earlier:
+                    inside &= self.ts > t[s]
+                out.append(self.rows[inside])
+        return np.concatenate(out)
+
+
+def _fit(sizes: np.ndarray, ratios: np.ndarray, least: float, measure: Measure, limits: Limits, departures: np.ndarray | None = None, scale_then: float = 0.0) -> Fit:
+    """Scale and coefficient from the histograms; the scale is NaN with too few changes.
+
+    The threshold is ``spike`` scales, or where the tail of the departures reaches further. The tail is that of
+    a Weibull distribution through their 90 and 99 percent quantiles, taken so far out that one in ten
+    such sources would have a departure beyond.
+    """
+    if sizes.sum() < limits.least:
+        return Fit(float("nan"), 0.0, float("inf"), least)
+    phi = float(np.clip(_median(ratios, _RATIO), -0.5, 0.5)) if ratios.sum() >= limits.least else 0.0
+    scale = float(1.4826 * np.exp(_median(sizes, _CHANGE)) * np.sqrt(1 - phi * phi))
+    tail = 0.0
+    if departures is not None and departures.sum() >= 10 * limits.least:
+        n = float(departures.sum())
+        high, top = (_median(departures, _DEPARTURE, q) for q in (0.9, 0.99))
+        tail = scale_then * np.exp(top + (top - high) / np.log(2) * np.log(np.log(10 * n) / np.log(100)))
+    return Fit(scale, phi, float(max(measure.spike * scale, tail)), least)
+
+
+def _fit_alone(r: _Readings, measure: Measure, limits: Limits) -> Fit:
+    """The fit of a source that is one block."""
+    first = _fit(*r.first_look(), _longest_usual(_lengths(r.rv), limits), measure, limits)
+    if np.isnan(first.scale):
+        return first
+    sizes, ratios, departures = r.second_look(first, limits.patch)
+    again = _fit(sizes, ratios, first.least, measure, limits, departures, first.scale)
+    return first if np.isnan(again.scale) else again
+
+
+_KINDS = ["", "impossible", "spike", "stuck", "shift"]
+_FLAGS = pa.schema([("row", pa.int64()), ("measure", pa.string()), ("kind", pa.string())])
+#: What the rows of a look at a block tell: histogram bins, lengths of runs, runs at the edges, and what was given.
+_SIZE, _RATIOS, _DEPARTED, _RUN, _EDGE, _GIVEN = range(6)
+_LOOK = pa.schema([("key", pa.string()), ("measure", pa.int32()), ("what", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("bin", pa.int64()), ("n", pa.int64()), ("value", pa.float64())])
+_CARRIED = "array<struct<measure: int, side: int, before: bigint, total: bigint>>"
+_LOOKED = "key string, measure int, what int, block int, side int, bin bigint, n bigint, value double"
+
+
+def _judge(r: _Readings, size: int, limits: Limits, fit: Fit, edges: dict[int, tuple[int, int]]) -> np.ndarray:
+    """For each row 0 or the number of what is wrong with it, or that a level shift begins there."""
+    kind = np.zeros(size, np.int8)
+    kind[r.impossible] = 1
+    if len(r.rows) < 3 or np.isnan(fit.scale):
         return kind
-    positive = np.flatnonzero(ev > 0)
-    bad = np.zeros(len(ev), bool)
-    bad[positive] = _spikes(et[positive], np.log(ev[positive]), scale, phi, measure.spike, limits.patch)
-    kind[order[bad[element]]] = 2
-    # runs over readings: a reading carries on the run if any of its rows has the value
-    if np.isfinite(least):
-        last = np.r_[ts[rows][1:] != ts[rows][:-1], True]
-        rt, rv = ts[rows][last], value[rows][last]
-        starts, n = _runs(rv)
-        for s, k in zip(starts, n):
-            if k >= least and rv[s] != 0:
-                inside = rows[(ts[rows] > rt[s]) & (ts[rows] <= rt[s + k - 1])]
-                kind[inside[value[inside] == rv[s]]] = 3
+    spikes, shifts = r.marks(fit, limits.patch)
+    kind[shifts] = 4
+    kind[spikes] = 2
+    kind[r.stuck(fit.least, edges)] = 3
     return kind
 
 
 def _arrays(group: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     columns = [group.column(n).cast(pa.float64()).to_numpy() for n in names]
-    return group.column("ts").cast(pa.int64()).fill_null(_UNTIMED).to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
+    return group.column("ts").to_numpy(), group.column("own").to_numpy(), [c.astype(float) for c in columns]
 
 
 def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[str], measures: Sequence[Measure], limits: Limits = Limits()) -> DataFrame:
-    """Rows that carry a false value: ``(row, measure, kind)``, kind being impossible, spike or stuck.
+    """Rows that carry a false value, ``(row, measure, kind)``: impossible, spike or stuck; and those at which a level ``shift`` begins, which are not false.
 
     Readings of a source ``key`` follow ``ts``; rows of one reading follow ``order`` and are judged
     each, as they may hold corrected values. Nulls are skipped, a null ``ts`` sorts first, null keys
@@ -228,71 +385,110 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     rows are flagged each, a null ``row`` as null; an empty table gives an empty one; other columns are ignored.
 
     Sources are spread over tasks by key, those with more than ``limits.size`` rows by blocks of
-    that size with a margin of their neighbours, and their robust parameters come from mergeable
-    histograms over all blocks. No task holds more than a block.
+    that size with a margin of their neighbours. No task holds more than a block. Fits of such a
+    source come from mergeable histograms over all its blocks, once with all readings and once
+    without the outliers and shifts found by the first; runs are carried over the edges of blocks by
+    their values and lengths there. Of all rows first only the keys are read; rows of hot keys are written
+    for the looks, and all rows are read once more to be judged.
     """
     names = [m.name for m in measures]
-    rows = df.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(row).cast("bigint").alias("row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(n).cast("double").alias(n) for n in names])
+    named = F.coalesce(F.concat(F.lit("k"), F.col(key)), F.lit(""))  # null keys are one key
+    time = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(_UNTIMED))
+    rows = df.select(named.alias("key"), time.alias("ts"), F.col(row).cast("bigint").alias("row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(n).cast("double").alias(n) for n in names])
     hour = F.floor(F.col("ts") / 3_600_000_000)
-    places = hot_places(rows, "key", hour, limits.size, limits.margin)
+    large = hot_keys(rows, "key", limits.size)
     sort = ["key", "block", "ts", *[f"_o{i}" for i in range(len(order))], "row"]
     columns = ["key", "block", "ts", "row", "own", *names]
 
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fits(given: list[float] | None) -> list[Fit] | None:
+        return given and [Fit(*given[4 * k : 4 * k + 4]) for k in range(len(measures))]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
             at, own, values = _arrays(group, names)
-            out: dict[str, list] = {"key": [], "measure": [], "what": [], "bin": [], "n": []}
-            for name, value, measure in zip(names, values, measures):
-                good = ~np.isnan(value) & ((value >= 0) if measure.zero else (value > 0))
-                sizes, ratios, lengths = _summary(at[good], value[good], own[good], value[good] > 0)
-                for what, pairs in (("size", enumerate(sizes)), ("ratio", enumerate(ratios)), ("run", lengths.items())):
-                    for k, n in pairs:
-                        if n:
-                            for column, x in zip(out.values(), (group.column("key")[0].as_py(), name, what, int(k), int(n))):
-                                column.append(x)
-            yield pa.RecordBatch.from_pydict(out, schema=_SUMMARY)
-
-    def parameters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = group.column("block")[0].as_py()
+            fitted = fits(group.column("given")[0].as_py()) if "given" in group.column_names else None
+            out: list[tuple] = []
+            for k, (value, measure) in enumerate(zip(values, measures)):
+                r = _Readings(at, value, own, measure)
+                if fitted is None:
+                    within, sides = r.edges()
+                    out += [(k, _RUN, block, 0, length, n, None) for length, n in within.items()]
+                    out += [(k, _EDGE, block, side, 0, n, v) for side, v, n in sides]
+                    looks = r.first_look()
+                else:
+                    out += [(k, _GIVEN, block, 0, i, 1, float(x)) for i, x in enumerate((fitted[k].scale, fitted[k].least))]
+                    looks = () if np.isnan(fitted[k].scale) else r.second_look(fitted[k], limits.patch)
+                for what, histogram in enumerate(looks):
+                    out += [(k, what, block, 0, int(i), int(histogram[i]), None) for i in np.flatnonzero(histogram)]
+            if out:
+                data = [pa.array([group.column("key")[0].as_py()] * len(out)), *(pa.array(c, f.type) for c, f in zip(zip(*out), list(_LOOK)[1:]))]
+                yield pa.RecordBatch.from_arrays(data, schema=_LOOK)
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for summary in batch.column(1).to_pylist():
                 given: list[float] = []
-                for name in names:
-                    sizes, ratios, lengths = np.zeros(len(_CHANGE) - 1), np.zeros(len(_RATIO) - 1), {}
+                for k, measure in enumerate(measures):
+                    histograms = [np.zeros(len(e) - 1) for e in (_CHANGE, _RATIO, _DEPARTURE)]
+                    lengths, then = {}, {}
                     for x in summary:
-                        if x["measure"] == name and x["what"] == "run":
+                        if x["measure"] != k:
+                            continue
+                        if x["what"] == _RUN:
                             lengths[x["bin"]] = x["n"]
-                        elif x["measure"] == name:
-                            (sizes if x["what"] == "size" else ratios)[x["bin"]] = x["n"]
-                    given += _parameters(sizes, ratios, lengths, limits)
+                        elif x["what"] == _GIVEN:
+                            then[x["bin"]] = x["value"]
+                        else:
+                            histograms[x["what"]][x["bin"]] = x["n"]
+                    sizes, ratios, departures = histograms
+                    if then:
+                        f = _fit(sizes, ratios, then[1], measure, limits, departures, then[0])
+                    else:
+                        f = _fit(sizes, ratios, _longest_usual(lengths, limits), measure, limits)
+                    given += [f.scale, f.phi, f.threshold, f.least]
                 out.append(given)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["_key", "given"])
-
-    # only keys in several blocks need the summaries of all of them; those have a bounded number of bins
-    hot = rows.join(places.select("_key").distinct(), F.col("key").eqNullSafe(F.col("_key")), "left_semi")
-    given = materialize(
-        in_blocks(hot, places, "key", hour).repartition("key", "block").sortWithinPartitions(*sort).select(*columns)
-        .mapInArrow(summaries, "key string, measure string, what string, bin bigint, n bigint")
-        .groupBy("key", "measure", "what", "bin").agg(F.sum("n").alias("n"))
-        .groupBy("key").agg(F.collect_list(F.struct("measure", "what", "bin", "n")).alias("summary"))
-        .mapInArrow(parameters, "_key string, given array<double>")
-    )
-    blocks = in_blocks(rows, places, "key", hour).join(given, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["key", "given"])
+
+    def fitted(counts: DataFrame) -> DataFrame:
+        """The fits of each hot key; all it gathers is a bounded number of bins and the lengths of runs."""
+        bins = counts.groupBy("key", "measure", "what", "bin").agg(F.sum("n").alias("n"), F.max("value").alias("value"))
+        return bins.groupBy("key").agg(F.collect_list(F.struct("measure", "what", "bin", "n", "value")).alias("summary")).mapInArrow(fitting, "key string, given array<double>")
+
+    def looked(blocks: DataFrame, *more: str) -> DataFrame:
+        return materialize(blocks.sortWithinPartitions(*sort).select(*columns, *more).mapInArrow(look, _LOOKED))
+
+    alone = rows.select("*", F.lit(0).alias("block"), F.lit(True).alias("own"))
+    if large.isEmpty():
+        spread = alone.repartition("key").sortWithinPartitions(*sort).select(*columns, F.lit(None).cast("array<double>").alias("given"), F.lit(None).cast(_CARRIED).alias("edges"))
+    else:
+        mine = F.col("key") == F.col("_key")
+        stored = materialize(rows.join(large, mine, "left_semi"))
+        hot = in_blocks(stored, hot_places(stored, "key", hour, limits.size, limits.margin), "key", hour)
+        first = looked(hot.repartition("key", "block"))
+        runs = joined_runs(first.where(F.col("what") == _EDGE), ["key", "measure"])
+        ended = runs.where("value <> 0 AND before + n = total").select("key", "measure", F.lit(_RUN).alias("what"), F.col("total").alias("bin"), F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("double").alias("value"))
+        given = fitted(first.where(F.col("what") != _EDGE).select(*ended.columns).unionByName(ended))
+        edges = runs.groupBy("key", "block").agg(F.collect_list(F.struct("measure", "side", "before", "total")).alias("edges"))
+        known = materialize(edges.join(given, "key"))
+        second = looked(hot.repartition("key", "block").join(known.drop("edges"), ["key", "block"]), "given")
+        known = materialize(known.drop("given").join(fitted(second), "key"))
+        spread = (
+            alone.join(large, mine, "left_anti").unionByName(hot).repartition("key", "block")
+            .join(known, ["key", "block"], "left").sortWithinPartitions(*sort).select(*columns, "given", "edges")
+        )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
             at, own, values = _arrays(group, names)
-            known = group.column("given")[0].as_py()
+            known, carried = fits(group.column("given")[0].as_py()), group.column("edges")[0].as_py() or []
             for k, (value, measure) in enumerate(zip(values, measures)):
-                kind = _judge(at, value, own, measure, limits, known and known[3 * k : 3 * k + 3])
+                r = _Readings(at, value, own, measure)
+                fit = known[k] if known else _fit_alone(r, measure, limits)
+                kind = _judge(r, len(value), limits, fit, {e["side"]: (e["before"], e["total"]) for e in carried if e["measure"] == k})
                 bad = np.flatnonzero((kind > 0) & own)
                 if len(bad):
                     yield pa.RecordBatch.from_arrays([group.column("row").take(pa.array(bad)).combine_chunks(), pa.array([measure.name] * len(bad)), pa.array([_KINDS[k] for k in kind[bad]])], schema=_FLAGS)
 
-    spread = blocks.repartition("key", "block").sortWithinPartitions(*sort).select(*columns, "given")
     return spread.mapInArrow(judge, "row bigint, measure string, kind string")
-
-
-_KINDS = ["", "impossible", "spike", "stuck"]
-_SUMMARY = pa.schema([("key", pa.string()), ("measure", pa.string()), ("what", pa.string()), ("bin", pa.int64()), ("n", pa.int64())])
-_FLAGS = pa.schema([("row", pa.int64()), ("measure", pa.string()), ("kind", pa.string())])

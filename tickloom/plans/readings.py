@@ -16,18 +16,18 @@ def symbol() -> Column:
     return F.upper(F.trim("symbol"))
 
 
-#: Thresholds in robust deviations; volumes vary more and more evenly than prices.
+#: Least thresholds in robust deviations; volumes vary more and more evenly than prices.
 MEASURES = (Measure("close", False, 8.0), Measure("adj_close", False, 8.0), Measure("volume", True, 5.0))
 
 
 def p4_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Every false value with its column and what is wrong with it."""
+    """Every false value with its column and what is wrong with it, and where level shifts begin."""
     readings = table(spark, sf, "yahoo_finance").withColumn("symbol", symbol())
     return flag_readings(readings, "symbol", "ts", "row_id", ["fetched_at"], MEASURES).withColumnRenamed("row", "row_id")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p4_flags(spark, sf).select("row_id").distinct()
+    return p4_flags(spark, sf).where("kind <> 'shift'").select("row_id").distinct()
 
 
 def p3_rolling(spark: SparkSession, sf: str) -> DataFrame:
