@@ -150,12 +150,16 @@ def _longest_usual(lengths: dict[int, int], limits: Limits) -> float:
     return least
 
 
-def _departures(t: np.ndarray, y: np.ndarray, phi: float, patch: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far the patch that begins at each element departs from what both sides let expect, and its length."""
+def _departures(t: np.ndarray, y: np.ndarray, shifted: np.ndarray, phi: float, patch: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far the patch that begins at each element departs from what both sides let expect, and its length.
+
+    A change that begins a level is not expected to go on.
+    """
     n = len(y)
     reading = np.cumsum(np.r_[0, t[1:] != t[:-1]])
-    ahead = np.r_[y[:1], y[1:] + phi * np.diff(y)]  # what is expected after each element
-    behind = np.r_[y[:-1] - phi * np.diff(y), y[-1:]]  # and before it
+    usual = np.where(shifted[1:], 0, np.diff(y))
+    ahead = np.r_[y[:1], y[1:] + phi * usual]  # what is expected after each element
+    behind = np.r_[y[:-1] - phi * usual, y[-1:]]  # and before it
     best, length = np.zeros(n), np.zeros(n, int)
     low, high = y.copy(), y.copy()
     for k in range(1, 2 * patch + 1):
@@ -195,7 +199,7 @@ def _outliers(t: np.ndarray, x: np.ndarray, marked: np.ndarray, shifted: np.ndar
         if n < 3:
             return any_found
         y, stretch = x[at], np.cumsum(shifted)[at]
-        best, length = _departures(t[at], y, fit.phi, patch)
+        best, length = _departures(t[at], y, shifted[at], fit.phi, patch)
         candidates = [i for i in np.flatnonzero(best > fit.threshold) if _stands_out(y, stretch, i, length[i], max(best[i] / 2, 0.75 * fit.threshold))]
         if not candidates:
             return any_found
@@ -279,7 +283,7 @@ class _Readings:
         t, x, mine, shifted = t[left], x[left], mine[left], shifted[left]
         one = _last_rows(t)
         sizes, ratios = _changes(x[one], mine[one], shifted[one])
-        best = _departures(t, x, fit.phi, patch)[0] if len(x) > 2 else np.zeros(len(x))
+        best = _departures(t, x, shifted, fit.phi, patch)[0] if len(x) > 2 else np.zeros(len(x))
         return sizes, ratios, _counted(np.log(best[mine & (best > 0)] / fit.scale), _DEPARTURE)
 
     def marks(self, fit: Fit, patch: int) -> tuple[np.ndarray, np.ndarray]:
