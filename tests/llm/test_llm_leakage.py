@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tickloom.llm.leakage import Matching, _Passages, leaks, words
+from tickloom.llm.leakage import Matching, _Block, _in_order, _Passages, alike, build_index, leaks, words
 
 RNG = random.Random(8)
 VOCABULARY = ["".join(RNG.choice("bdfgklmprst") + RNG.choice("aeiou") for _ in range(3)) for _ in range(300)]
@@ -30,8 +30,8 @@ def misread(tokens, seed):
 
 
 def test_words_are_brought_to_one_form():
-    assert words("Har-\nbour") == words("harbour") == words("ＨАRBOUR!") == words("hav8our")
-    assert words("") == [] and words("the barn") == words("fhe bam")
+    assert words("Har-\nbour") == words("harbour") == words("ＨАRBOUR!") == ["harbour"]
+    assert words("") == [] and alike("harbour") == alike("hav8our") and [*map(alike, words("the barn"))] == [*map(alike, words("fhe bam"))]
 
 
 def test_leaks_through_dirt(spark):
@@ -65,9 +65,34 @@ def test_many_copies_and_standing_notices(spark):
     q = notice + passage(50, 33)
     third = [lines(p[:22] + passage(30, 40) + p[27:50])] * 40  # two pieces, in a third of all documents
     noted = [lines(passage(30, 100 + k) + notice) for k in range(75)]
-    partly = lines(q[20:40] + passage(60, 34) + notice)  # a third of the passage, and a notice that many have
-    texts = [*third, *noted, partly]
-    assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {(k, 1) for k in range(40)}
+    partly = [lines(q[20:n] + passage(60, 34) + notice) for n in (37, 38, 40)]  # a piece of the passage, and a notice that many have
+    texts = [*third, *noted, *partly]
+    assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {*((k, 1) for k in range(40)), (116, 2), (117, 2)}  # 32 and 34 of 64 words
+
+
+def test_half_is_enough_and_less_is_not(spark):
+    p = passage(100, 61)
+    noise = lambda s, n=120: passage(n, 1000 + s)
+    one = [lines(noise(n) + p[20 : 20 + n] + noise(n + 200)) for n in (40, 45, 48, 50, 52)]
+    two = [lines(p[60 : 60 + n - 20] + noise(n + 400) + p[10:30]) for n in (40, 45, 48, 50, 52)]
+    assert found(spark, one + two, [(1, " ".join(p))]) == {(k, 1) for k in (3, 4, 8, 9)}
+
+
+def test_passages_of_few_words(spark):
+    texts = ["one more thing: the grey heron waded off at dusk", "a grey heron", "heron grey the waded", "dusk", "the grey heron flew"]
+    items = [(1, "The grey heron waded"), (2, "dusk"), (3, "the grey heron waded off")]
+    assert found(spark, texts, items) == {(0, 1), (0, 2), (0, 3), (1, 1), (3, 2), (4, 1), (4, 3)}
+
+
+def test_words_like_others_are_not_the_words(spark):
+    page = "the bat at the tax on the rug of the ban bid at naan and fat"
+    item = "the hat of the fox on the rug at the bar hid at noon and eat"
+    assert [*map(alike, words("hat fox hid noon"))] == [*map(alike, words("bat tax bid naan"))]
+    assert found(spark, [page, item], [(1, "hat fox hid noon hat hid fox noon"), (2, item)]) == {(1, 2)}
+    p = passage(60, 71)
+    assert found(spark, [lines(misread(p, 7))], [(1, " ".join(p))]) == {(0, 1)}
+    every = [w.translate(str.maketrans("aeo", "oca")) for w in p]  # no word is right
+    assert found(spark, [lines(every)], [(1, " ".join(p))]) == set()
 
 
 def test_copies_do_not_make_their_own_leak_common(spark):
@@ -79,22 +104,31 @@ def test_copies_do_not_make_their_own_leak_common(spark):
     assert found(spark, texts, [(1, " ".join(p)), (2, " ".join(q))]) == {*((k, 1) for k in range(40)), *((k, 2) for k in range(40, 65)), (65, 1)}
 
 
-def test_lists_are_intersected_from_the_rarest_term_on():
+def test_lists_are_intersected_from_the_rarest_term_on(spark):
     rng = random.Random(6)
     few = VOCABULARY[:12]
-    passages = _Passages([(k, " ".join(rng.choice(few) for _ in range(40))) for k in range(5)], 3)
-    documents = np.array([rng.randrange(100) for _ in passages.terms])
-    passages.start_from_rarest(documents)
-    for term in range(len(documents)):
-        led = passages.words[passages.by_rarest[passages.led[term] : passages.led[term + 1]]]
-        assert (documents[led].min(axis=1) == documents[term]).all()
-    known = {tuple(w): k for k, w in enumerate(passages.words.tolist())}
-    for n in (0, 1, 2, 3, 400):
-        ids = [rng.randrange(-1, len(documents)) for _ in range(n)]
-        lists = sorted((t, k) for k, t in enumerate(ids) if t >= 0)
-        terms, positions = (np.array([x[i] for x in lists], np.int32) for i in (0, 1))
-        got = sorted(zip(*(x.tolist() for x in passages.phrases_in(terms, positions))))
-        assert got == [(k, known[tuple(ids[k : k + 3])]) for k in range(n - 2) if tuple(ids[k : k + 3]) in known]
+    passages = _Passages([(k, [rng.choice(few) for _ in range(40)]) for k in range(5)], 3)
+    [(distinct, first, of, place)] = passages.phrases
+    assert all((passages.ids[of[i]][place[i] : place[i] + 3] == distinct[k]).all() for k in range(len(distinct)) for i in range(first[k], first[k + 1]))
+    assert first[-1] == 5 * 38
+    texts = [" ".join(rng.choice(few + ["other"]) for _ in range(n)) for n in (0, 1, 2, 3, 400, 90)]
+    df = spark.createDataFrame([(10 + k, t, 1) for k, t in enumerate(texts)], "id bigint, body string, ids int").coalesce(1)
+    rows = build_index(df, "id", "body", 300).collect()  # several blocks
+    assert len(rows) > 1 and sum((list(r.ids) for r in rows), []) == [10, 11, 12, 13, 14, 15]
+    frequency = np.array([rng.randrange(100) for _ in passages.terms])
+    want = {(10 + k, i, tuple(passages.terms.get(alike(w), -1) for w in t.split()[i : i + 3])) for k, t in enumerate(texts) for i in range(len(t.split()) - 2)}
+    known = {tuple(d) for d in distinct.tolist()}
+    for order in (np.argsort(frequency[distinct], axis=1), np.argsort(-frequency[distinct], axis=1)):
+        got = set()
+        for r in rows:
+            which, where = _Block(list(r.terms), bytes(r.first), bytes(r.pages), bytes(r.positions), passages).phrases(distinct, order)
+            got |= {(r.ids[w >> 22], int(w & (1 << 22) - 1), tuple(distinct[k].tolist())) for k, w in zip(which.tolist(), where.tolist())}
+        assert got == {x for x in want if x[2] in known}
+
+
+def test_most_in_order():
+    assert _in_order([]) == [] and _in_order([[], []]) == [] and _in_order([[5], [3], [7]]) in ([0, 2], [1, 2])
+    assert _in_order([[9, 1], [2, 8], [], [3]]) == [0, 1, 3] and _in_order([[4, 4], [4]]) in ([0], [1])
 
 
 def test_empty_tables(spark):

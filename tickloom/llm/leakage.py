@@ -1,19 +1,20 @@
-"""Passages of held-out test items inside a corpus, by a positional index of the test terms.
-
-Every document becomes a posting list of the terms it shares with the test passages, with their
-positions; the index is partitioned by document, so no term gathers its documents and nothing of
-a text is shuffled. The passages, a bounded table, go to every partition. There the lists of
-adjacent terms are intersected after adjusting by their offsets, which gives the places of exact
-phrases, each from the list of its rarest term in the corpus on. Matches that follow each other in
-document and passage are chained across gaps, so that a passage is found when other matter stands
-in between.
+"""Passages of held-out test items inside a corpus, by a positional inverted index of the corpus.
+
+Every word of every document is stored in inverted lists ``(term, page, position)``, one row for each
+block of pages, so that no term gathers its documents, a frequent term is split by page block, and
+nothing of a text is shuffled. The passages, a table of known size, go to every block. There the
+lists of a phrase's terms are intersected after adjusting by their offsets, from the list of the term
+that is rarest in the whole corpus on; that gives the places of exact phrases. What a document has of
+a passage is put together from them by proximity: phrases that follow each other in document and passage
+make a piece, across other matter of limited length, and words beside or between them are looked up
+in their lists.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,148 +31,170 @@ _WORD = re.compile(r"[^\W_]+")
 # Characters that print readers confuse, by one that stands for all of its group.
 _CONFUSED = str.maketrans("c0ovu1j58hqf", "eaarnlisbbgt")
 _JOINED = (("vv", "w"), ("rn", "m"), ("cl", "d"))
+#: Bits of a posting: page within its block, position within its page.
+_PAGE, _AT = 16, 22
 
 
 def words(text: str) -> list[str]:
-    """The words of a text without case, accents, punctuation and hyphen breaks, misread letters made equal."""
+    """The words of a text without case, accents, punctuation and hyphen breaks."""
     if not text.isascii():
         text = "".join(c for c in skeleton(text) if not unicodedata.combining(c))
-    text = _BREAK.sub("", text.lower())
+    return _WORD.findall(_BREAK.sub("", text.lower()))
+
+
+def alike(word: str) -> str:
+    """One form for the words that a print reader confuses."""
     for odd, usual in _JOINED:
-        text = text.replace(odd, usual)
-    return _WORD.findall(text.translate(_CONFUSED))
+        word = word.replace(odd, usual)
+    return word.translate(_CONFUSED)
 
 
 @dataclass(frozen=True)
 class Matching:
     """``share``: part of a passage a document must hold. ``phrase``: adjacent terms of an exact match.
 
-    Matches are chained over up to ``gap`` words of other matter; between chained matches up to
-    ``hole`` words of the passage count as held. A passage is looked at closer if its matches hold
-    ``least`` of it, however common they are. Pieces of up to ``notice`` words are standing notices if
-    their mean rarity is below ``common``: 1 for phrases of one document, 0.25 for those of all, where
-    only documents count that do not hold the share of the passage, so that copies of a leak
-    never make it common. ``most`` bounds the words of
-    all passages together that are sent to the partitions at once; more are done in blocks.
+    A piece goes on across up to ``gap`` words of other matter; up to ``hole`` words of the passage
+    beside or between phrases are looked up one by one. Of the letters of the words matched at most ``misread``
+    may be others than the passage's, easily confused with them. A passage is looked at closer if
+    ``least`` of its phrases are in the document. ``most`` bounds the words of all passages together that are
+    sent to the blocks at once; more are done in turns. ``block`` is the number of characters of
+    a block of pages.
     """
 
-    share: float = 0.42
+    share: float = 0.5
     phrase: int = 3
     gap: int = 80
     hole: int = 8
+    misread: float = 0.15
     least: float = 0.07
-    common: float = 0.45
-    notice: int = 20
     most: int = 500_000
+    block: int = 4_000_000
 
 
 class _Passages:
-    """The distinct passages as term numbers, and the places of their phrases."""
+    """The distinct passages as numbers of terms, and the places of their phrases.
+
+    A phrase has ``phrase`` terms, in passages of few words as many as are half of them. Phrases of
+    equal length are kept together, as ``(terms, passage and place of each use)``.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], phrase: int):
+    def __init__(self, items: list[tuple[int, list[str]]], phrase: int):
         by_words: dict[tuple[str, ...], list[int]] = {}
         for item, passage in items:
-            if w := tuple(words(passage)):
-                by_words.setdefault(w, []).append(item)
+            if passage:
+                by_words.setdefault(tuple(passage), []).append(item)
         self.items = list(by_words.values())
         self.terms: dict[str, int] = {}
-        self.ids = [np.array([self.terms.setdefault(t, len(self.terms)) for t in w], np.int64) for w in by_words]
+        self.ids = [np.array([self.terms.setdefault(alike(t), len(self.terms)) for t in w], np.int64) for w in by_words]
+        self.words = list(by_words)
         self.lengths = np.array([len(x) for x in self.ids], np.int64)
-        self.phrase = phrase
-        codes, passage, place = [], [], []
-        for k, ids in enumerate(self.ids):
-            c = self.encode(ids)
-            codes.append(c)
-            passage.append(np.full(len(c), k))
-            place.append(np.arange(len(c)))
-        order = np.argsort(np.concatenate(codes) if codes else np.zeros(0, np.int64), kind="stable")
-        every = (np.concatenate(codes) if codes else np.zeros(0, np.int64))[order]
-        self.passage, self.place = (np.concatenate(x)[order] if x else np.zeros(0, np.int64) for x in (passage, place))
-        self.codes, self.first = np.unique(every, return_index=True)
-        self.last = np.r_[self.first[1:], len(every)]
-        self.begins = np.r_[0, np.cumsum(self.lengths)]
-        self.words = np.array([self.ids[self.passage[i]][self.place[i] : self.place[i] + phrase] for i in self.first], np.int64).reshape(-1, phrase)
-        self.start_from_rarest(np.zeros(len(self.terms), np.int64))
-
-    def start_from_rarest(self, documents: np.ndarray) -> None:
-        """Order the terms of each phrase by the number of documents that have them, phrases by their rarest."""
-        self.order = np.argsort(documents[self.words], axis=1, kind="stable") if len(self.words) else np.zeros((0, self.phrase), np.int64)
-        rarest = np.take_along_axis(self.words, self.order, 1)[:, 0]
-        self.by_rarest = np.argsort(rarest, kind="stable")
-        self.led = np.searchsorted(rarest[self.by_rarest], np.arange(len(self.terms) + 1))
-
-    def encode(self, ids: np.ndarray) -> np.ndarray:
-        """A number for each phrase; negative where a term is none of the passages'."""
-        n = len(ids) - self.phrase + 1
-        if n < 1:
-            return np.zeros(0, np.int64)
-        base = len(self.terms) + 1
-        if base**self.phrase >= 2**63:  # too many terms for exact numbers: mix, collisions are seen in the chains
-            base = 0x9E3779B97F4A7C15
-        out, known = np.zeros(n, np.uint64), np.ones(n, bool)
-        with np.errstate(over="ignore"):
-            for k in range(self.phrase):
-                part = ids[k : k + n]
-                known &= part >= 0
-                out = out * np.uint64(base) + np.where(part >= 0, part + 1, 0).astype(np.uint64)
-        return np.where(known, (out & np.uint64(2**63 - 1)).astype(np.int64), -1)
-
-    def phrases_in(self, terms: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of phrases in a document and the phrases' numbers, by intersection of its lists.
-
-        Each list is taken for the phrases of which its term is the rarest, and less the offsets of
-        the terms intersected with the next rarer lists. Lists are in order of term, then position.
-        """
-        lists = terms.astype(np.int64) << 32 | positions
-        n = self.led[terms + 1] - self.led[terms]
-        slot = np.repeat(self.led[terms] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        which = self.by_rarest[slot]
-        at = np.repeat(positions, n) - self.order[which, 0]
-        has = np.zeros(len(self.terms), bool)
-        has[terms] = True
-        some = np.flatnonzero(has[self.words[which]].all(axis=1))
-        which, at = which[some], at[some]
-        for k in range(1, self.phrase):
-            offset = self.order[which, k]
-            wanted = (self.words[which, offset] << 32) + at + offset
-            found = np.searchsorted(lists, wanted)
-            some = np.flatnonzero(lists[np.minimum(found, len(lists) - 1)] == wanted) if len(lists) else found
-            which, at = which[some], at[some]
-        return at, which
-
-
-def build_index(documents: DataFrame, doc: str, text: str, terms: dict[str, int]) -> DataFrame:
-    """The postings of each document: ``(doc, n_words, terms, positions)``, in order of term, then position."""
+        self.sizes = np.minimum(phrase, (self.lengths + 1) // 2)
+        self.phrases: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in np.unique(self.sizes).tolist():
+            parts = [(np.lib.stride_tricks.sliding_window_view(self.ids[k], size), k) for k in np.flatnonzero(self.sizes == size)]
+            every = np.concatenate([p for p, _ in parts])
+            passage, place = (np.concatenate(x) for x in ([np.full(len(p), k) for p, k in parts], [np.arange(len(p)) for p, _ in parts]))
+            distinct, which = np.unique(every, axis=0, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            first = np.searchsorted(which.ravel()[order], np.arange(len(distinct) + 1))
+            self.phrases.append((distinct, first, passage[order], place[order]))
+
+
+def build_index(documents: DataFrame, doc: str, text: str, block: int = Matching.block) -> DataFrame:
+    """The inverted lists of each block of pages, as one row: ``(ids, terms, first, pages, positions)``.
+
+    ``ids`` are the documents of the block by page number. The postings of ``terms[k]`` are entries
+    ``first[k]`` to ``first[k + 1]`` of ``pages`` and ``positions``, in order of page, then position. Numbers
+    are little-endian bytes of 8, 8, 2 and 4 bytes. Documents whose text is null are left out.
+    """
+
+    def row(pages: list[tuple[int | None, str]]) -> pa.RecordBatch:
+        numbers: dict[str, int] = {}
+        term, count = [], []
+        for _, t in pages:
+            own = [numbers.setdefault(w, len(numbers)) for w in words(t)]
+            term.append(np.array(own, np.int32))
+            count.append(len(own))
+        flat = np.concatenate(term)
+        page = np.repeat(np.arange(len(pages), dtype=np.uint16), count)
+        position = np.concatenate([np.arange(n, dtype=np.uint32) for n in count])
+        order = np.argsort(flat, kind="stable")
+        first = np.searchsorted(flat[order], np.arange(len(numbers) + 1)).astype(np.int64)
+        data = [[[i for i, _ in pages]], [list(numbers)], [first.tobytes()], [page[order].tobytes()], [position[order].tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(data, _INDEX)], schema=_INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            count, flat, places, ends = [], [], [], [0]
-            for t in batch.column(1).to_pylist():
-                ids = np.array([terms.get(w, -1) for w in words(t)], np.int32)
-                at = np.flatnonzero(ids >= 0).astype(np.int32)
-                order = np.argsort(ids[at], kind="stable")
-                count.append(len(ids))
-                flat.append(ids[at][order])
-                places.append(at[order])
-                ends.append(ends[-1] + len(at))
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (flat, places)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int32()), *lists], names=["doc", "n_words", "terms", "positions"])
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((i, t))
+                size += len(t)
+                if size >= block or len(held) == 1 << _PAGE:
+                    yield row(held)
+                    held, size = [], 0
+        if held:
+            yield row(held)
 
     rows = documents.where(F.col(text).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc bigint, n_words int, terms array<int>, positions array<int>")
+    return rows.mapInArrow(run, "ids array<bigint>, terms array<string>, first binary, pages binary, positions binary")
 
 
-def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Documents with their lists: terms, positions."""
-    ends = batch.column(2).offsets.to_numpy()
-    flat, places = batch.column(2).values.to_numpy(), batch.column(3).values.to_numpy()
-    for k, doc in enumerate(batch.column(0).to_pylist()):
-        yield doc, flat[ends[k] : ends[k + 1]], places[ends[k] : ends[k + 1]]
+_INDEX = pa.schema([("ids", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("first", pa.binary()), ("pages", pa.binary()), ("positions", pa.binary())])
+
+
+class _Block:
+    """The lists of a block for the terms of the passages, merged for words that are easily confused.
+
+    ``keys`` are the postings ``(term, page, position)`` in order; ``word`` is the number of the very
+    word at each.
+    """
+
+    def __init__(self, terms: list[str], first: bytes, pages: bytes, positions: bytes, passages: _Passages):
+        numbers = np.array([passages.terms.get(alike(t), -1) for t in terms], np.int64)
+        n = np.diff(np.frombuffer(first, np.int64))
+        known = np.repeat(numbers >= 0, n)
+        keys = (np.repeat(numbers, n)[known] << _PAGE | np.frombuffer(pages, np.uint16)[known]) << _AT | np.frombuffer(positions, np.uint32)[known]
+        order = np.argsort(keys, kind="stable")
+        self.words, self.keys, self.word = terms, keys[order], np.repeat(np.arange(len(n)), n)[known][order]
+
+    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lists of ``terms`` begin and end."""
+        return np.searchsorted(self.keys, terms << (_PAGE + _AT)), np.searchsorted(self.keys, (terms + 1) << (_PAGE + _AT))
+
+    def find(self, terms: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The entries of postings of ``terms`` at ``where``, page and position as one number; -1 where there is none."""
+        wanted = terms << (_PAGE + _AT) | where
+        found = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[found] == wanted, found, -1)
+
+    def phrases(self, distinct: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of phrases and the places where they begin, by intersection of the lists of their terms.
+
+        The list of each phrase's rarest term, less its offset, is intersected with the next rarer
+        ones, less theirs; ``order`` has the offsets by rarity.
+        """
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        each = np.arange(len(distinct))
+        begin, end = self.lists(distinct[each, order[:, 0]])
+        n = end - begin
+        for k in range(1, distinct.shape[1]):  # a phrase with an empty list is nowhere
+            b, e = self.lists(distinct[each, order[:, k]])
+            n = np.where(e > b, n, 0)
+        which = np.repeat(each, n)
+        entry = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        where = self.keys[entry] & ((1 << (_PAGE + _AT)) - 1)
+        some = (where & ((1 << _AT) - 1)) >= order[which, 0]
+        which, where = which[some], where[some] - order[which[some], 0]
+        for k in range(1, distinct.shape[1]):
+            offset = order[which, k]
+            some = self.find(distinct[which, offset], where + offset) >= 0
+            which, where = which[some], where[some]
+        return which, where
 
 
 def _runs(at: np.ndarray, place: np.ndarray, phrase: int, hole: int) -> list[tuple[int, int, int, int]]:
-    """Matches on one diagonal, close to each other, as ``(start, end, from, to)`` in document and passage."""
+    """Phrases on one diagonal, close to each other, as ``(start, end, from, to)`` in document and passage."""
     diagonal = at - place
     order = np.lexsort((at, diagonal))
     a, q, d = at[order], place[order], diagonal[order]
@@ -181,7 +204,8 @@ def _runs(at: np.ndarray, place: np.ndarray, phrase: int, hole: int) -> list[tup
     return sorted(zip(a[first].tolist(), (a[last] + phrase).tolist(), q[first].tolist(), (q[last] + phrase).tolist()))
 
 
-def _best_chain(runs: list, gap: int, hole: int) -> tuple[float, list[int]]:
+def _best_chain(runs: list, gap: int) -> tuple[float, list[int]]:
+    """The words and the runs of the piece that holds most: runs that follow each other in document and passage."""
     score, before = [], []
     for k, (a, b, q, r) in enumerate(runs):
         best, link = 0.0, -1
@@ -192,11 +216,8 @@ def _best_chain(runs: list, gap: int, hole: int) -> tuple[float, list[int]]:
             over = max(0, b2 - a, r2 - q)
             if q <= q2 or r <= r2 or a <= a2 or a - b2 > gap or over >= min(r - q, r2 - q2):
                 continue
-            skipped = q - r2
-            fill = skipped if 0 < skipped <= hole and a - b2 >= skipped else 0
-            s = score[j] - over + 0.5 * fill - 1
-            if s > best:
-                best, link = s, j
+            if score[j] - over - 1 > best:
+                best, link = score[j] - over - 1, j
         score.append(best + r - q)
         before.append(link)
     if not score:
@@ -209,107 +230,163 @@ def _best_chain(runs: list, gap: int, hole: int) -> tuple[float, list[int]]:
     return top, path[::-1]
 
 
-def _reach(place: np.ndarray, longest: int) -> int:
-    """The most words of a passage that matches at ``place``, in order, can hold, each with the hole after it."""
-    return int(np.minimum(np.diff(place), longest).sum()) + longest
-
-
-def _short(words: int, length: int, m: Matching) -> bool:
-    """Whether a piece may be a standing notice: it is short and not the share asked for by itself."""
-    return words <= min(m.notice, m.share * length)
-
+def _in_order(lists: list[list[int]]) -> list[int]:
+    """The most lists that an ascending series can take one number of each of, in their order."""
+    tails: list[int] = []
+    at: list[tuple[int, int]] = []  # (list, entry before) by entry
+    heads: list[int] = []
+    for k, numbers in enumerate(lists):
+        for x in reversed(numbers):
+            i = bisect_left(tails, x)
+            at.append((k, heads[i - 1] if i else -1))
+            tails[i : i + 1], heads[i : i + 1] = [x], [len(at) - 1]
+    out, entry = [], heads[-1] if heads else -1
+    while entry >= 0:
+        k, entry = at[entry]
+        out.append(k)
+    return out[::-1]
+
+
+class _Held:
+    """What one page holds of one passage."""
+
+    def __init__(self, block: _Block, page: int, ids: np.ndarray, words: tuple[str, ...], size: int, m: Matching):
+        self.block, self.page, self.ids, self.words, self.size, self.m = block, page << _AT, ids, words, size, m
+
+    def _beside(self, low: int, high: int, first: int, last: int) -> list[int]:
+        """Words ``low`` to ``high`` of the passage that stand in order at positions ``first`` to ``last``, looked up in their lists."""
+        first = max(first, 0)
+        if low >= high or first >= last:
+            return []
+        terms = self.ids[low:high] << (_PAGE + _AT) | self.page
+        begin, end = np.searchsorted(self.block.keys, terms | first), np.searchsorted(self.block.keys, terms + min(last, (1 << _AT) - 1))
+        mask = (1 << _AT) - 1
+        return [low + k for k in _in_order([(self.block.keys[b:e] & mask).tolist() for b, e in zip(begin, end)])]
+
+    def _piece(self, runs: list, seen: np.ndarray) -> np.ndarray:
+        """The words of the passage in a chain of runs and beside them; those in ``seen`` are taken."""
+        hole = self.m.hole
+        mine = np.zeros(len(self.ids), bool)
+        end, to = None, None
+        for a, b, q, r in runs:
+            mine[q:r] = True
+            if end is None:
+                extra = self._beside(max(0, q - hole), q, a - 2 * hole, a)
+            else:
+                extra = self._beside(to, q, end, a) if q - to <= hole else []
+            mine[extra] = True
+            end, to = b, r
+        mine[self._beside(to, min(len(mine), to + hole), end, end + 2 * hole)] = True
+        return mine & ~seen
+
+    def _read_right(self, runs: list) -> bool:
+        """Whether few enough letters of the words matched are others than the passage's."""
+        place = np.concatenate([np.arange(q, r) for _, _, q, r in runs])
+        at = np.concatenate([np.arange(a, a + r - q) for a, _, q, r in runs])
+        entry = self.block.find(self.ids[place], self.page | at)
+        wrong = letters = 0
+        for e, k in zip(entry.tolist(), place.tolist()):
+            if e >= 0:
+                there, here = self.block.words[self.block.word[e]], self.words[k]
+                letters += len(here)
+                if there != here:
+                    # one letter read as two is one mistake
+                    wrong += sum(map(str.__ne__, there, here)) if len(there) == len(here) else abs(len(there) - len(here))
+        return wrong <= self.m.misread * letters
+
+    def pieces(self, at: np.ndarray, place: np.ndarray) -> tuple[float, int, int]:
+        """The share held by the two largest pieces, their number, and where the larger begins."""
+        length = len(self.ids)
+        runs = _runs(at, place, self.size, self.m.hole)
+        seen = np.zeros(length, bool)
+        found: list[tuple[int, list]] = []
+        while runs and len(found) < 2:
+            top, path = _best_chain(runs, self.m.gap)
+            if top < min(self.size + 2, (length + 1) // 2):
+                break
+            chain = [runs[k] for k in path]
+            seen |= self._piece(chain, seen)
+            found.append((chain[0][0], chain))
+            used = set(path)
+            rest = []
+            for k, (a, b, q, r) in enumerate(runs):
+                if k not in used:
+                    free = np.flatnonzero(~seen[q:r])
+                    if len(free) >= self.size:  # what is left of the run beyond the piece
+                        rest.append((a + int(free[0]), a + int(free[-1]) + 1, q + int(free[0]), q + int(free[-1]) + 1))
+            runs = sorted(rest)
+        share = float(seen.mean())
+        if share < self.m.share or not self._read_right([run for _, chain in found for run in chain]):
+            return 0.0, 0, 0
+        return share, len(found), found[0][0]
 
-def _pieces(at: np.ndarray, place: np.ndarray, length: int, m: Matching) -> list[tuple[int, np.ndarray]]:
-    """Pieces of the passage from the largest on, each as its place in the document and the words held.
 
-    There are two at most besides those that may be standing notices; none if the first two hold too little.
-    """
-    runs = _runs(at, place, m.phrase, m.hole)
-    seen = np.zeros(length, bool)
-    out: list[tuple[int, np.ndarray]] = []
-    sure = 0
-    while runs and sure < 2:
-        top, path = _best_chain(runs, m.gap, m.hole)
-        if top < m.phrase + 2:
-            break
-        mine = np.zeros(length, bool)
-        end = None
-        for k in path:
-            a, b, q, r = runs[k]
-            if end is not None and 0 < q - end[1] <= m.hole and a - end[0] >= q - end[1]:
-                mine[end[1] : q] = True
-            mine[q:r] = True
-            end = b, r
-        out.append((runs[path[0]][0], np.flatnonzero(mine)))
-        sure += not _short(mine.sum(), length, m)
-        seen |= mine
-        if len(out) == 2 and seen.sum() < m.share * length:
-            return []
-        used = set(path)
-        rest = []
-        for k, (a, b, q, r) in enumerate(runs):
-            if k not in used:
-                free = np.flatnonzero(~seen[q:r])
-                if len(free) >= m.phrase:  # what is left of the run beyond the pieces
-                    rest.append((a + int(free[0]), a + int(free[-1]) + 1, q + int(free[0]), q + int(free[-1]) + 1))
-        runs = sorted(rest)
-    return out if seen.sum() >= m.share * length else []
-
-
-_PIECES = "doc bigint, passage int, places array<int>, position array<int>, held array<array<int>>"
 _FOUND = "doc bigint, item bigint, held double, pieces bigint, position bigint"
 
 
-def _search(index: DataFrame, passages: _Passages, m: Matching) -> DataFrame:
-    """Documents whose pieces hold the share of a passage, with the places of their matches in it."""
-    lengths, per = passages.lengths, passages.last - passages.first
+def _search(index: DataFrame, passages: _Passages, frequency: np.ndarray, m: Matching) -> DataFrame:
+    """Documents whose pieces hold the share of a passage."""
+    orders = [np.argsort(frequency[distinct], axis=1, kind="stable") for distinct, _, _, _ in passages.phrases]
+
+    def candidates(block: _Block) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Pages and passages that can hold the share, with the positions and places of their phrases."""
+        for (distinct, first, passage, place), order in zip(passages.phrases, orders):
+            which, where = block.phrases(distinct, order)
+            n = first[which + 1] - first[which]
+            use = np.repeat(first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            of, at, q = passage[use], np.repeat(where, n), place[use]
+            pair = (at >> _AT) * len(passages.items) + of
+            by = np.lexsort((q, pair))
+            pair, at, q = pair[by], at[by], q[by]
+            if not len(pair):
+                continue
+            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            count = np.diff(np.r_[start, len(pair)])
+            k = pair[start] % len(passages.items)
+            size = passages.sizes[k]
+            # a phrase cannot hold more than itself and the hole behind it
+            step = np.minimum(np.r_[np.diff(q), 0], distinct.shape[1] + m.hole)
+            step[np.r_[start[1:], len(q)] - 1] = distinct.shape[1] + 2 * m.hole
+            reach = np.add.reduceat(step, start)
+            length = passages.lengths[k]
+            for i in np.flatnonzero((reach >= m.share * length) & (count >= m.least * (length - size + 1))):
+                some = slice(start[i], start[i] + count[i])
+                yield int(pair[start[i]] // len(passages.items)), int(k[i]), at[some] & ((1 << _AT) - 1), q[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
-            for doc, terms, positions in _documents(batch):
-                where, which = passages.phrases_in(terms, positions)
-                if not len(where):
-                    continue
-                n = per[which]
-                at = np.repeat(where, n)
-                slot = np.repeat(passages.first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                passage, place = passages.passage[slot], passages.place[slot]
-                count = np.bincount(passage, minlength=len(lengths))
-                for k in np.flatnonzero((count > 0) & (count >= m.least * lengths)):
-                    mine = passage == k
-                    places = np.unique(place[mine])
-                    if _reach(places, m.phrase + m.hole) < m.share * lengths[k]:
-                        continue
-                    if pieces := _pieces(at[mine], place[mine], int(lengths[k]), m):
-                        found.append((doc, int(k), places.tolist(), [x for x, _ in pieces], [x.tolist() for _, x in pieces]))
-            if found:
-                few = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int32(), few, few, pa.list_(few)))], names=["doc", "passage", "places", "position", "held"])
-
-    return index.mapInArrow(run, _PIECES)
-
-
-def _decide(found: DataFrame, passages: _Passages, rarity: np.ndarray, m: Matching) -> DataFrame:
-    """Pieces without standing notices; the share must be held by the first two of the rest."""
+            for k in range(batch.num_rows):
+                ids, terms, first, pages, positions = (c[k] for c in batch.columns)
+                block = _Block(terms.as_py(), first.as_py(), pages.as_py(), positions.as_py(), passages)
+                found: list[tuple] = []
+                for page, p, at, place in candidates(block):
+                    held, pieces, position = _Held(block, page, passages.ids[p], passages.words[p], int(passages.sizes[p]), m).pieces(at, place)
+                    if pieces:
+                        found += [(ids[page].as_py(), item, held, pieces, position) for item in passages.items[p]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc", "item", "held", "pieces", "position"])
+
+    return index.mapInArrow(run, _FOUND)
+
+
+def _frequencies(index: DataFrame, passages: _Passages) -> np.ndarray:
+    """The number of postings of each term of the passages in the whole corpus; bounded by the passages' terms."""
+    terms = passages.terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(terms), np.int64)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, k, places, position, held in zip(*(c.to_pylist() for c in batch.columns)):
-                length, rare = int(passages.lengths[k]), rarity[passages.begins[k] : passages.begins[k + 1]]
-                kept = []
-                for start, mine in zip(position, held):
-                    matched = np.intersect1d(mine, places)
-                    if not (_short(len(mine), length, m) and rare[matched].mean() < m.common):
-                        kept.append((start, mine))
-                share = len({w for _, mine in kept[:2] for w in mine}) / length
-                if share >= m.share:
-                    out += [(doc, item, share, len(kept[:2]), kept[0][0]) for item in passages.items[k]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc", "item", "held", "pieces", "position"])
-
-    return found.mapInArrow(run, _FOUND)
+            for words_of, first in zip(batch.column(0), batch.column(1)):
+                numbers = np.array([terms.get(alike(t), -1) for t in words_of.as_py()], np.int64)
+                known = numbers >= 0
+                np.add.at(counts, numbers[known], np.diff(np.frombuffer(first.as_py(), np.int64))[known])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
+
+    totals = index.select("terms", "first").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(terms), np.int64)
+    counts[totals.column(0).to_numpy()] = totals.column(1).to_numpy()
+    return counts
 
 
 def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, matching: Matching = Matching()) -> DataFrame:
@@ -318,71 +395,28 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     ``held`` is the share of the passage's words found in their order in one or two pieces,
     ``position`` the word at which the larger piece begins. Items that share a passage are given
     each, and so are copies of a document. Null and empty texts and passages match nothing, a null
-    document id stays null; a
-    passage of fewer words than a phrase is matched by none. Other columns are ignored.
+    document id stays null; a passage of few words is found by phrases of half its words. Other
+    columns are ignored.
 
-    The passages are read on the driver in blocks of up to ``most`` words; each block is matched
-    against all documents. Counts of phrases for their rarity cover all documents that do not hold
-    the share of the passage.
+    The index of the corpus is made once. The passages are read on the driver in turns of up to
+    ``most`` words; each turn is searched in the index. No frequency decides what is found.
     """
+    index = materialize(build_index(documents, doc, text, matching.block))
     rows = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("bigint"), passage)
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in rows.toLocalIterator():
-        n = row[1].count(" ") + 1
-        if size and size + n > matching.most:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], row[1]))
-        size += n
     out: DataFrame | None = None
-    for block in blocks:
-        passages = _Passages(block, matching.phrase)
-        index = materialize(build_index(documents, doc, text, passages.terms))
-        passages.start_from_rarest(_frequencies(index, len(passages.terms)))
-        pieces = materialize(_search(index, passages, matching))
-        found = _decide(pieces, passages, _rarity(index, pieces, passages), matching)
-        out = found if out is None else out.unionByName(found)
-    return out
 
+    def search(turn: list[tuple[int, list[str]]]) -> DataFrame:
+        passages = _Passages(turn, matching.phrase)
+        found = _search(index, passages, _frequencies(index, passages), matching)
+        return found if out is None else out.unionByName(found)
 
-def _frequencies(index: DataFrame, terms: int) -> np.ndarray:
-    """The number of documents that have each term."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(terms, np.int64)
-        for batch in batches:
-            for _, own, _ in _documents(batch):
-                if len(own):
-                    counts[own[np.r_[True, own[1:] != own[:-1]]]] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "n"])
-
-    totals = index.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(terms, np.int64)
-    counts[totals.column(0).to_numpy()] = totals.column(1).to_numpy()
-    return counts
-
-
-def _rarity(index: DataFrame, pieces: DataFrame, passages: _Passages) -> np.ndarray:
-    """For each place of the passages 1 if at most one document has its phrase without holding the passage, down to 0.25 if all have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, documents = np.zeros(len(passages.codes) + 1, np.int64), 0
-        for batch in batches:
-            for _, terms, positions in _documents(batch):
-                documents += 1
-                counts[np.unique(passages.phrases_in(terms, positions)[1])] += 1
-        counts[-1] = documents
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["phrase", "n"])
-
-    totals = index.mapInArrow(run, "phrase bigint, n bigint").groupBy("phrase").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(passages.codes) + 1, np.int64)
-    counts[totals.column(0).to_numpy()] = totals.column(1).to_numpy()
-    n = max(2, int(counts[-1]))
-    outside = np.zeros(passages.begins[-1], np.int64)
-    outside[passages.begins[passages.passage] + passages.place] = np.repeat(counts[:-1], passages.last - passages.first)
-    holding = pieces.select("passage", F.explode("places").alias("place")).groupBy("passage", "place").agg(F.count("*").alias("n")).toArrow()
-    outside[passages.begins[holding.column(0).to_numpy()] + holding.column(1).to_numpy()] -= holding.column(2).to_numpy()
-    return np.maximum(0.25, 1 - np.log(np.maximum(1, outside)) / math.log(n))
+    held: list[tuple[int, list[str]]] = []
+    size = 0
+    for row in rows.toLocalIterator():
+        own = words(row[1])
+        if size and size + len(own) > matching.most:
+            out = search(held)
+            held, size = [], 0
+        held.append((row[0], own))
+        size += len(own)
+    return search(held)
