@@ -59,20 +59,23 @@ def p6_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Tokens of a container, the context sizes below it, and containers of a step.
-CAPACITY, TIERS, STEP = 2048, (256, 512, 1024), 64
+CAPACITY, TIERS, STEP = 2048, (512, 1024), 64
 
 
 def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages in containers of 2048 tokens, as pieces with their place."""
+    """Pages in containers of 2048 tokens, as pieces with their place and the context size of their window."""
     counts = materialize(packing.token_counts(table(spark, sf, "documents"), "doc_id", "text"))
     packed = packing.pack(counts, CAPACITY, TIERS, STEP)
-    return packed.select(F.col("doc").alias("doc_id"), "piece", "n_tokens", F.col("container").alias("container_id"), "offset", F.col("step").alias("step_id"))
+    return packed.select(F.col("doc").alias("doc_id"), "piece", "n_tokens", "window", F.col("container").alias("container_id"), "offset", F.col("step").alias("step_id"))
 
 
 def p7_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers, pieces and tokens of each step, and how full its containers are."""
-    steps = p7_packing(spark, sf).where("container_id IS NOT NULL").groupBy("step_id", "container_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"))
-    return steps.groupBy("step_id").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 6).alias("filled"))
+    """Containers, pieces and tokens of each step, how full its containers are, and how many tokens lie in windows of each size."""
+    by_container = p7_packing(spark, sf).where("container_id IS NOT NULL").groupBy("step_id", "container_id")
+    sizes = [F.sum(F.when(F.col("window") == t, F.col("n_tokens")).otherwise(0)).alias(f"tokens_{t}") for t in (*TIERS, CAPACITY)]
+    steps = by_container.agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), *sizes)
+    totals = [F.sum(c).alias(c) for c in ("pieces", "tokens", *[f"tokens_{t}" for t in (*TIERS, CAPACITY)])]
+    return steps.groupBy("step_id").agg(F.count("*").alias("containers"), *totals, F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 6).alias("filled"))
 
 
 def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
