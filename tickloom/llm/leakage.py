@@ -33,6 +33,8 @@ _CONFUSED = str.maketrans("c0ovu1j58hqf", "eaarnlisbbgt")
 _JOINED = (("vv", "w"), ("rn", "m"), ("cl", "d"))
 #: Bits of a posting: page within its block, position within its page.
 _PAGE, _AT = 16, 22
+#: Postings intersected at once, to bound memory.
+_AT_ONCE = 500_000
 
 
 def words(text: str) -> list[str]:
@@ -68,7 +70,7 @@ class Matching:
     misread: float = 0.15
     least: float = 0.07
     most: int = 500_000
-    block: int = 4_000_000
+    block: int = 1_000_000
 
 
 class _Passages:
@@ -181,15 +183,19 @@ class _Block:
         for k in range(1, distinct.shape[1]):  # a phrase with an empty list is nowhere
             b, e = self.lists(distinct[each, order[:, k]])
             n = np.where(e > b, n, 0)
-        which = np.repeat(each, n)
-        entry = np.repeat(begin - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        where = self.keys[entry] & ((1 << (_PAGE + _AT)) - 1)
-        some = (where & ((1 << _AT) - 1)) >= order[which, 0]
-        which, where = which[some], where[some] - order[which[some], 0]
-        for k in range(1, distinct.shape[1]):
-            offset = order[which, k]
-            some = self.find(distinct[which, offset], where + offset) >= 0
-            which, where = which[some], where[some]
+        out = []
+        for part in np.split(each, np.flatnonzero(np.diff(np.cumsum(n) // _AT_ONCE)) + 1):
+            which = np.repeat(part, n[part])
+            entry = np.repeat(begin[part] - np.r_[0, np.cumsum(n[part])[:-1]], n[part]) + np.arange(n[part].sum())
+            where = self.keys[entry] & ((1 << (_PAGE + _AT)) - 1)
+            some = (where & ((1 << _AT) - 1)) >= order[which, 0]
+            which, where = which[some], where[some] - order[which[some], 0]
+            for k in range(1, distinct.shape[1]):
+                offset = order[which, k]
+                some = self.find(distinct[which, offset], where + offset) >= 0
+                which, where = which[some], where[some]
+            out.append((which, where))
+        which, where = (np.concatenate(x) for x in zip(*out))
         return which, where
 
 
