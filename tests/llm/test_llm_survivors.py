@@ -51,7 +51,8 @@ def test_estimate_finds_the_bad_source():
                 no |= 1 << s
         patterns[yes, no] = patterns.get((yes, no), 0) + 1
     y, m = (np.array([k[i] for k in patterns]) for i in (0, 1))
-    sens, spec, truth = estimate(y, m, np.array(list(patterns.values()), float), 3, Quality())
+    rates = estimate(y, m, np.array(list(patterns.values()), float), 3, Quality())
+    sens, spec, truth = rates.sens, rates.spec, rates.truth(y, m)
     assert sens == pytest.approx([0.95, 0.9, 0.4], abs=0.03) and spec == pytest.approx([0.98, 0.97, 0.5], abs=0.03)
     assert truth[list(patterns).index((0b011, 0b100))] > 0.9 and truth[list(patterns).index((0b100, 0b011))] < 0.1
 
@@ -66,5 +67,20 @@ def test_judge_keeps_every_true_value(spark):
     assert true == {(g, v) for g in range(200) for v in ("right", "also")}
     assert {r.source: r.sensitivity > 0.5 for r in rates.collect()} == {0: True, 1: True, 2: False}
     with pytest.raises(ValueError):
-        judge(df, ["g"], F.col("source"), 13)
+        judge(df, ["g"], F.col("source"), 63)
     assert judge(df.limit(0), ["g"], F.col("source"), 3)[0].count() == 0
+
+
+def test_rates_fitted_where_the_patterns_are_and_many_sources(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(300):
+        for s in rng.sample(range(40), 6):
+            good = s % 5 != 0
+            rows.append((g, rng.choice(["a", "b"]), "right" if rng.random() < (0.9 if good else 0.2) else f"wrong{rng.randrange(9)}", s))
+    df = spark.createDataFrame(rows, "g int, field string, value string, source int")
+    results = [judge(df, ["g"], F.col("source"), 40, Quality(local=n, rounds=12)) for n in (10**6, 0)]
+    here, there = (sorted(map(tuple, r[1].collect())) for r in results)
+    assert [x[:2] for x in here] == [x[:2] for x in there] and np.allclose([x[2:] for x in here], [x[2:] for x in there])
+    here, there = ({tuple(x[:3]): x.truth for x in r[0].collect()} for r in results)
+    assert here.keys() == there.keys() and all(abs(here[k] - there[k]) < 1e-6 for k in here)

@@ -25,10 +25,14 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "sec_facts").withColumn("concept", same_concept(F.col("concept")))
 
 
-def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+def _trust() -> list[Column]:
+    """The stated order of rows: periodic reports, valid filing dates, the latest of them."""
     valid = F.coalesce(F.col("filed") >= F.col("period_end"), F.lit(False))
-    trust = [F.when(_form().isin(*PERIODIC), 0).otherwise(1), F.when(valid, 0).otherwise(1), F.when(valid, -F.unix_date("filed")).otherwise(0)]
-    best = survivors.consolidate(_facts(spark, sf), ["cik", "concept"], "period_end", APART, "fact_id", list(FIELDS), trust)
+    return [F.when(_form().isin(*PERIODIC), 0).otherwise(1), F.when(valid, 0).otherwise(1), F.when(valid, -F.unix_date("filed")).otherwise(0)]
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    best = survivors.consolidate(_facts(spark, sf), ["cik", "concept"], "period_end", APART, "fact_id", list(FIELDS), _trust())
     return best.select("first_id", *[F.col(f"{f}_from").alias(f"{name}_from") for f, name in FIELDS.items()])
 
 
@@ -36,14 +40,30 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 SOURCES = ("10K", "10Q", "10KA", "10QA", "8K", "8KA", "6K", "")
 
 
-def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _claims(spark: SparkSession, sf: str) -> DataFrame:
     facts = _facts(spark, sf).where("cik IS NOT NULL AND concept IS NOT NULL AND period_end IS NOT NULL")
     periods = near_periods(facts.select("cik", "concept", "period_end").distinct(), ["cik", "concept"], "period_end", APART, "period")
     form = F.coalesce(_form(), F.lit(""))
     source = F.when(form.isin(*SOURCES), F.array_position(F.array(*map(F.lit, SOURCES)), form) - 1).otherwise(len(SOURCES) - 1)
     named = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in ("value", "period_start", "fiscal_year")])
-    claims = facts.join(periods, ["cik", "concept", "period_end"]).withColumn("source", source).select("cik", "concept", "period", "source", F.inline(named))
-    return survivors.judge(claims, ["cik", "concept", "period"], F.col("source"), len(SOURCES))
+    trusted = facts.withColumn("trust", F.struct(*[t.alias(f"t{i}") for i, t in enumerate(_trust())], "fact_id"))
+    return trusted.join(periods, ["cik", "concept", "period_end"]).withColumn("source", source).select("cik", "concept", "period", "source", "trust", F.inline(named))
+
+
+def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return survivors.judge(_claims(spark, sf).drop("trust"), ["cik", "concept", "period"], F.col("source"), len(SOURCES))
+
+
+def agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the value the model judges likeliest is the one the stated order takes: ``(field, groups, agree)``.
+
+    Groups of two facts or more with different values; equal chances go by the stated order.
+    """
+    keys = ["cik", "concept", "period", "field"]
+    first = _claims(spark, sf).where("value IS NOT NULL").groupBy(*keys, "value").agg(F.min("trust").alias("trust"))
+    both = first.join(_judged(spark, sf)[0].select(*keys, "value", "truth"), [*keys, "value"])
+    picks = both.groupBy(*keys).agg(F.count("*").alias("values"), F.min("trust").alias("stated"), F.min(F.struct(-F.round("truth", 9), "trust"))["trust"].alias("model")).where("values > 1")
+    return picks.groupBy("field").agg(F.count("*").alias("groups"), F.sum((F.col("stated") == F.col("model")).cast("int")).alias("agree"))
 
 
 def p6_truth(spark: SparkSession, sf: str) -> DataFrame:
