@@ -1,2 +1,6 @@
-def test_survivors_give_the_rows_of_their_sql(agrees):
-    assert agrees("p6_found")
+import pytest
+
+
+@pytest.mark.parametrize("name", ["p6_found", "p9_found", "p9_classes"])
+def test_query_gives_the_rows_of_its_sql(agrees, name):
+    assert agrees(name)

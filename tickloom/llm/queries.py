@@ -130,11 +130,14 @@ QUERIES = {
 }
 
 _BEST = """coalesce(first(fact_id ORDER BY {0} IS NULL, a, b, c, fact_id) FILTER (WHERE {0} IS NOT NULL), 0) AS {1}_from"""
+_FORMS = f"WITH f AS (SELECT doc_id, text, {skeleton.sql_form('text')} AS form FROM documents WHERE text IS NOT NULL)"
 ORACLE: dict[str, str] = {
     "p6_found": f"""WITH f AS (SELECT *, {CONCEPT} AS k, regexp_replace(upper(form), '[^A-Z0-9]', '', 'g') AS g, coalesce(filed >= period_end, false) AS ok
  FROM sec_facts WHERE cik IS NOT NULL AND concept IS NOT NULL AND period_end IS NOT NULL),
 h AS (SELECT *, CASE WHEN g IN ('10K', '10Q', '10KA', '10QA') THEN 0 ELSE 1 END AS a, CASE WHEN ok THEN 0 ELSE 1 END AS b, CASE WHEN ok THEN DATE '1970-01-01' - filed ELSE 0 END AS c,
  CASE WHEN period_end - lag(period_end) OVER w <= {APART} THEN 0 ELSE 1 END AS s FROM f WINDOW w AS (PARTITION BY cik, k ORDER BY period_end)),
 p AS (SELECT *, sum(s) OVER (PARTITION BY cik, k ORDER BY period_end) AS n FROM h)
-SELECT min(fact_id) AS first_id, {", ".join(_BEST.format(f, name) for f, name in FIELDS.items())} FROM p GROUP BY cik, k, n HAVING count(*) >= 2"""
+SELECT min(fact_id) AS first_id, {", ".join(_BEST.format(f, name) for f, name in FIELDS.items())} FROM p GROUP BY cik, k, n HAVING count(*) >= 2""",
+    "p9_found": f"""{_FORMS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
+    "p9_classes": f"""{_FORMS} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(DISTINCT text) OVER (PARTITION BY form) AS variants FROM f""",
 }
