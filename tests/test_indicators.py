@@ -12,6 +12,8 @@ from tickloom.functions import oscillators as osc
 from tickloom.functions import returns as ret
 from tickloom.functions import stats, trend
 
+from test_known_values import CLOSES
+
 T0 = datetime(2024, 1, 1)
 
 
@@ -25,7 +27,7 @@ def one(df, **columns):
 
 
 PRICES = [(p,) for p in (100, 101, 103, 102, 104, 106, 105, 107, 108, 109)]
-RSI = [(p,) for p in (44, 44.34, 44.09, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28, 46.00, 46.03, 46.41, 46.22, 45.64)]
+RSI = [(p,) for p in CLOSES]
 
 
 def ema(values, period):

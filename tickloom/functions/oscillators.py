@@ -28,6 +28,20 @@ def rsi(value: ColumnOrName, ts: ColumnOrName, period: int = 14, over: WindowSpe
     return fold(ordered(ts, over, v=value), {"n": 0, "v": None, "g": 0, "l": 0}, step, value_of)
 
 
+def rsi_rows(value: ColumnOrName, period: int, window: WindowSpec) -> Column:
+    """``rsi`` over this row and the ``period`` before it, from sums of lags without arrays; null where there are fewer.
+
+    ``window`` has the partitioning and order, but no frame; a null among the rows gives null.
+    """
+    v, p = number(value), positive(period, 14)
+    prices = [F.lag(v, j).over(window) for j in range(p + 1)]
+    up, down = F.lit(0.0), F.lit(0.0)
+    for now, then in zip(prices, prices[1:]):
+        up += F.greatest(now - then, 0 * now * then)  # null where either is
+        down += F.greatest(then - now, 0 * now * then)
+    return F.when(down == 0, 100.0).when(down > 0, 100 - 100 / (1 + up / down))
+
+
 def _range(high, low, close, ts, period, over, finish) -> Column:
     last = tail(ordered(ts, over, h=high, l=low, c=close), positive(period, 14))
     top, bottom = F.array_max(F.transform(last, lambda x: x["h"])), F.array_min(F.transform(last, lambda x: x["l"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from tickloom.functions.series import ColumnOrName, fold, ordered, positive, tail
+from tickloom.functions.series import ColumnOrName, fold, number, ordered, positive, tail
 
 
 def _ema_step(previous: Column, value: Column, period: int) -> Column:
@@ -19,6 +19,20 @@ def ema(value: ColumnOrName, ts: ColumnOrName, period: int = 12, over: WindowSpe
     return fold(ordered(ts, over, v=value), {"e": None}, lambda a, x: {"e": _ema_step(a["e"], x["v"], p)}, lambda a: a["e"])
 
 
+def ema_rows(value: ColumnOrName, period: int, window: WindowSpec, rows: int) -> Column:
+    """``ema`` over this row and the ``rows`` - 1 before it, as a weighted sum of lags without arrays.
+
+    ``window`` has the partitioning and order, but no frame; a null among the rows gives null.
+    """
+    v, k = number(value), 2.0 / (max(period, 1) + 1)
+    n = F.least(F.row_number().over(window), F.lit(rows))
+    total = F.lit(0.0)
+    for j in range(rows):  # the first row of the frame starts the average
+        weight = F.lit((1 - k) ** j) if j == rows - 1 else F.when(n == j + 1, (1 - k) ** j).otherwise(k * (1 - k) ** j)
+        total += F.lag(v, j, 0.0).over(window) * weight
+    return total
+
+
 def _levels(value, ts, period, over, finish) -> Column:
     if period <= 0:
         return F.lit(None).cast("double")

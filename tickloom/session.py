@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,15 +32,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written by this process, with the file system settings to delete them by.
+_WRITTEN: dict[str, Any] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder of this machine is used.
+    Only where that is unset and the session is a local one, as in tests, a folder of this machine is
+    used; on a cluster each executor would write to its own disk, so RuntimeError is raised.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tickloom-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tickloom-"))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    _WRITTEN[path] = context._jsc.hadoopConfiguration()
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what queries wrote to the shared folder, when their results are no longer needed; gives the number of folders.
+
+    At the end of the process that happens by itself.
+    """
+    gone = 0
+    for path, settings in list(_WRITTEN.items()):
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(file.getFileSystem(settings).delete(file, True))
+        del _WRITTEN[path]
+    return gone
+
+
+@atexit.register
+def _clean_at_exit() -> None:
+    session = SparkSession._instantiatedSession
+    if session is not None and _WRITTEN:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            clean(session)
 
 
 def materialize(df: DataFrame) -> DataFrame:

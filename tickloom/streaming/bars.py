@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +37,14 @@ def stream_ema(df: DataFrame, key: str, period: int, ts: str = "ts", price: str
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).dropna().sort_values(["ts", "price"], kind="stable")
-        value, n = state.get if state.exists else (None, 0)
-        for x in rows["price"]:
-            value = x if value is None else value + k * (x - value)
-            n += 1
-        if value is not None:
-            state.update((float(value), n))
-            if len(rows):
-                yield pd.DataFrame({"key": [name[0]], "ts": [rows["ts"].iloc[-1]], "ema": [value], "n": [n]})
+        if not len(rows):
+            return
+        prices = rows["price"].to_numpy(float)
+        value, n = state.get if state.exists else (prices[0], 0)
+        # the recurrence over a batch is one sum: what was before, and each price by its distance from the end
+        value = float(value * (1 - k) ** len(prices) + k * prices @ (1 - k) ** np.arange(len(prices) - 1, -1, -1))
+        state.update((value, n + len(prices)))
+        yield pd.DataFrame({"key": [name[0]], "ts": [rows["ts"].iloc[-1]], "ema": [value], "n": [n + len(prices)]})
 
     named = df.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(price).cast("double").alias("price"))
     out = named.groupBy("key").applyInPandasWithState(update, "key string, ts timestamp, ema double, n long", "ema double, n long", "update", GroupStateTimeout.NoTimeout)
