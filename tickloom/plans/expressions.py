@@ -120,6 +120,17 @@ _BOND_SQL = {
     "bond_convexity": f"{_bond('i + 2', 'i * (i + 1)')} / {_PRICE} / (q * q)",
     "bond_ytm": "y",
 }
+
+
+def _tree(sign: int, name: str, steps: int = 200) -> str:
+    """A binomial tree from its leaves down, one list of values for each step."""
+    gain = lambda n, j: f"{sign} * (s * power(u, {n} - 2 * {j}) - k)"
+    return f"""WITH RECURSIVE {OPTIONS}, d AS (SELECT *, t / {steps} AS dt, exp(v * sqrt(t / {steps})) AS u FROM o), c AS (SELECT *, (exp(r * dt) - 1 / u) / (u - 1 / u) AS p FROM d),
+tree AS (SELECT p_partkey, {steps} AS n, list_transform(range(0, {steps + 1}), lambda j: greatest({gain(steps, "j")}, 0)) AS x FROM c WHERE p > 0 AND p < 1
+ UNION ALL SELECT p_partkey, n - 1, list_transform(range(0, n), lambda j: greatest(exp(-r * dt) * (p * x[j + 1] + (1 - p) * x[j + 2]), {gain("n - 1", "j")})) FROM tree JOIN c USING (p_partkey) WHERE n > 0)
+SELECT p_partkey, round(x[1], 6) + 0.0 AS {name} FROM c LEFT JOIN (SELECT * FROM tree WHERE n = 0) AS l USING (p_partkey)"""
+
+
 ORACLE = (
     {name: f"WITH {BARS} SELECT symbol, bar_us, {_called(name, a)} AS {name} FROM b" for name, a in (_BARS | _MADE).items()}
     | {name: f"WITH {OPTIONS} SELECT p_partkey, round({_option(name)}, 6) + 0.0 AS {name} FROM o" for name in _OPTIONS}
@@ -128,4 +139,5 @@ ORACLE = (
         "timebucket": "SELECT epoch_us(ts) - epoch_us(ts) % 300000000 AS bucket_us, count(*) AS n FROM events GROUP BY ALL",
         "bs_implied_vol": f"WITH {OPTIONS} SELECT p_partkey, round({_option('bs_call')}, 4) + 0.0 AS price FROM o",
     }
+    | {f"am_{kind}": _tree(sign, f"am_{kind}") for kind, sign in (("call", 1), ("put", -1))}
 )

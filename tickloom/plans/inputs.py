@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import closed
+from tickloom.plans import answers
 from tickloom.plans.views import ticks
 from tickloom.registry import read, register
 from tickloom.session import shared_folder, table
@@ -20,12 +21,20 @@ from tickloom.streaming.bars import stream_ohlc as bars_of
 def _source(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         register(spark)
-        options, answers = SAMPLES[name]
-        return read(spark, name, **options, responses=json.dumps(answers))
+        options, recorded = SAMPLES[name]
+        rows = read(spark, name, **options, responses=json.dumps(recorded))
+        return rows.select(*[_plain(c, kind) for c, kind in rows.dtypes])
 
     return query
 
 
+def _plain(name: str, kind: str) -> Column:
+    """Times as microseconds, dates and lists as text."""
+    if kind == "timestamp":
+        return F.unix_micros(name).alias(f"{name}_us")
+    return F.array_join(F.col(name).cast("array<string>"), " ").alias(name) if kind.startswith("array") else F.col(name).cast("string" if kind == "date" else kind).alias(name)
+
+
 #: Micro-batches the events come in, and the files of each.
 BATCHES, FILES = 4, 2
 
@@ -67,7 +76,7 @@ def tick_ema(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f"source_{name}": _source(name) for name in SAMPLES} | {"stream_ohlc": stream_ohlc, "stream_ema": stream_ema, "tick_ema": tick_ema}
 _EMA = "SELECT event_type AS symbol, round(list_reduce(list(value ORDER BY ts), lambda a, x: x * (2.0::DOUBLE / 21) + a * (1 - 2.0::DOUBLE / 21)), 6) AS ema, count(*) AS n FROM events GROUP BY 1"
-ORACLE = {
+ORACLE = answers.ORACLE | {
     "stream_ohlc": "SELECT event_type AS symbol, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS ts_us, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS n FROM events GROUP BY event_type, time_bucket(INTERVAL 1 DAY, ts) HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "stream_ema": _EMA,
     "tick_ema": _EMA,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import backtest, market, portfolio
 from tickloom.plans.views import BARS, DAILY, bars, daily, returns, ticks
+from tickloom.session import table
 
 CAPITAL, COMMISSION, SLIPPAGE = 10_000.0, 0.001, 0.0005
 
@@ -69,21 +70,49 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(full, "ts")
 
 
+#: Riskless return of a period, and points of the frontier.
+RATE, POINTS = 0.001, 10
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in df.dtypes])
+
+
 def min_variance_portfolio(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.min_variance_portfolio(panel(spark, sf))
+    return _rounded(portfolio.min_variance_portfolio(panel(spark, sf)))
 
 
 def max_sharpe_portfolio(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.max_sharpe_portfolio(panel(spark, sf), 0.001)
+    return _rounded(portfolio.max_sharpe_portfolio(panel(spark, sf), RATE))
 
 
 def efficient_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.efficient_frontier(panel(spark, sf), 10, 0.001)
+    return _rounded(portfolio.efficient_frontier(panel(spark, sf), POINTS, RATE))
 
 
 def monte_carlo(spark: SparkSession, sf: str) -> DataFrame:
-    """1,000 paths of 100 days from the mean price of the daily market's last year of data."""
-    return portfolio.monte_carlo(spark, 100.0, 0.05, 0.2, 100, 1_000, seed=7)
+    """1,000 paths of 100 days from the mean price of the daily market."""
+    start = daily(spark, sf).agg(F.avg("price")).first()[0]
+    return portfolio.monte_carlo(spark, start, 0.05, 0.2, 100, 1_000, seed=7)
+
+
+def monte_carlo_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """For each day the paths, and whether mean and deviation of their logarithms are within four standard errors of those of the process."""
+    paths = monte_carlo(spark, sf)
+    x = F.ln(F.col("price") / F.col("start"))
+    first = paths.where("day = 0").select("path_id", F.col("price").alias("start"))
+    days = paths.join(first, "path_id").groupBy("day").agg(F.count("*").alias("paths"), F.avg(x).alias("m"), F.stddev_samp(x).alias("sd"))
+    mean, sd = F.col("day") * (0.05 - 0.2**2 / 2) / 252, 0.2 * F.sqrt(F.col("day") / 252.0)
+    near = F.abs(F.col("m") - mean) <= 4 * sd / F.sqrt("paths")
+    return days.select(F.col("day").cast("bigint").alias("day"), "paths", near.alias("mean_holds"), (F.abs(F.col("sd") - sd) <= 4 * sd / F.sqrt(2.0 * F.col("paths"))).alias("deviation_holds"))
+
+
+def asof_join_by(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event of a user with that user's last purchase before it or at its time."""
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("paid"))
+    met = market.asof_join(events, bought, "ts", ["user_id"])
+    return met.select("user_id", _us("ts"), "event_type", "value", _us("ts_r"), "paid")
 
 
 def min_variance_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +124,7 @@ def min_variance_check(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (resample_ohlc, with_returns, asof_join, backtest_equity, backtest_trades, backtest_stats, min_variance_portfolio, max_sharpe_portfolio, efficient_frontier, monte_carlo, min_variance_check)
+    for f in (resample_ohlc, with_returns, asof_join, backtest_equity, backtest_trades, backtest_stats, min_variance_portfolio, max_sharpe_portfolio, efficient_frontier, monte_carlo, monte_carlo_moments, asof_join_by, min_variance_check)
 }
 
 _SIM = f"""{DAILY},
@@ -108,7 +137,28 @@ trades AS (SELECT trade, max(ts) FILTER (WHERE long = 1) AS entry_ts, max(ts) FI
  max(equity) FILTER (WHERE long = 1) * 1.001::DOUBLE * 1.0005::DOUBLE AS spent, max(equity) FILTER (WHERE long = 0) AS got, max(i) FILTER (WHERE long = 0) - max(i) FILTER (WHERE long = 1) AS bars_held
  FROM eq WHERE long <> was GROUP BY trade HAVING max(ts) FILTER (WHERE long = 0) IS NOT NULL)"""
 _PANEL = f"""{BARS}, r AS (SELECT ts, symbol, ret FROM b WHERE ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ts) = (SELECT count(DISTINCT symbol) FROM b WHERE ret IS NOT NULL))"""
+# covariances with the ridge beside ones, means and excess means, brought to the identity row by row
+_SOLVED = f"""WITH RECURSIVE {_PANEL},
+means AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i, avg(ret) AS mu FROM r GROUP BY symbol),
+cov AS (SELECT x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS c FROM r x JOIN r y USING (ts) GROUP BY ALL),
+ridge AS (SELECT greatest(1e-10, abs(sum(c)) * 1e-10 / count(*)) AS e FROM cov WHERE a = b),
+start AS (SELECT list(line || [1::DOUBLE, mu, mu - {RATE!r}] ORDER BY a) AS m FROM (SELECT a, list(c + CASE WHEN a = b THEN e ELSE 0 END ORDER BY b) AS line FROM cov CROSS JOIN ridge GROUP BY a) JOIN means ON a = symbol),
+steps AS (SELECT 1 AS k, m FROM start UNION ALL
+ SELECT k + 1, list_transform(range(1, len(m) + 1), lambda j: list_transform(range(1, len(m) + 4), lambda c: CASE WHEN j = k THEN m[k][c] / m[k][k] ELSE m[j][c] - m[j][k] * m[k][c] / m[k][k] END)) FROM steps WHERE k <= len(m)),
+x AS (SELECT symbol, mu, m[i][len(m) + 1] AS one, m[i][len(m) + 2] AS mean, m[i][len(m) + 3] AS excess FROM (SELECT m FROM steps WHERE k > len(m)) CROSS JOIN means)"""
+_RISKS = "risks AS (SELECT {0} sum(p.w * q.w * c) AS risk FROM w p JOIN w q {1} JOIN cov ON p.symbol = a AND q.symbol = b {2})"
+_WEIGHTS = _SOLVED + """, w AS (SELECT symbol, mu, {0} / sum({0}) OVER () AS w FROM x), """ + _RISKS.format("", "ON true", "") + """
+SELECT symbol, round(w, 6) + 0.0 AS weight, round(sum(w * mu) OVER (), 6) + 0.0 AS expected_return, round(sqrt(risk), 6) AS volatility FROM w CROSS JOIN risks"""
 ORACLE = {
+    "min_variance_portfolio": _WEIGHTS.format("one"),
+    "max_sharpe_portfolio": _WEIGHTS.format("excess"),
+    "efficient_frontier": f"""{_SOLVED}, s AS (SELECT sum(one) AS a, sum(mean) AS b, sum(mean * mu) AS c, least(sum(one * mu) / sum(one), min(mu)) AS low, max(mu) AS high FROM x),
+t AS (SELECT *, k AS point_id, low + k * (high - low) / {POINTS - 1} AS target FROM s CROSS JOIN range({POINTS}) AS g(k)),
+w AS (SELECT point_id, symbol, mu, (one * (c - b * target) + mean * (a * target - b)) / (a * c - b * b) AS w FROM t CROSS JOIN x),
+{_RISKS.format("point_id,", "USING (point_id)", "GROUP BY point_id")}, g AS (SELECT *, sum(w * mu) OVER (PARTITION BY point_id) AS gain FROM w)
+SELECT CAST(point_id AS INTEGER) AS point_id, symbol, round(w, 6) + 0.0 AS weight, round(gain, 6) + 0.0 AS expected_return, round(sqrt(risk), 6) AS volatility, round((gain - {RATE!r}) / sqrt(risk), 6) + 0.0 AS sharpe_ratio FROM g JOIN risks USING (point_id)""",
+    "monte_carlo_moments": "SELECT day, CAST(1000 AS BIGINT) AS paths, true AS mean_holds, true AS deviation_holds FROM range(101) AS d(day)",
+    "asof_join_by": "WITH p AS (SELECT user_id, ts, max(value) AS paid FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT l.user_id, epoch_us(l.ts) AS ts_us, l.event_type, l.value, epoch_us(p.ts) AS ts_r_us, p.paid FROM events l ASOF LEFT JOIN p ON l.user_id = p.user_id AND l.ts >= p.ts",
     "resample_ohlc": f"WITH {BARS} SELECT symbol, epoch_us(time_bucket(INTERVAL 7 DAY, ts)) AS ts_us, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM b GROUP BY symbol, time_bucket(INTERVAL 7 DAY, ts)",
     "with_returns": f"WITH {DAILY} SELECT epoch_us(ts) AS ts_us, round(price + 1e-9, 6) AS price, round(price / nullif(lag(price) OVER w, 0) - 1, 6) + 0.0 AS simple_return, round(ln(price / nullif(lag(price) OVER w, 0)), 6) + 0.0 AS log_return FROM daily WINDOW w AS (ORDER BY ts)",
     "asof_join": "WITH l AS (SELECT ts, value AS price FROM events WHERE event_type = 'purchase'), r AS (SELECT ts, value AS price FROM events WHERE event_type = 'view') SELECT epoch_us(l.ts) AS ts_us, l.price, epoch_us(r.ts) AS ts_r_us, r.price AS price_r FROM l ASOF LEFT JOIN r ON l.ts >= r.ts",
