@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -57,3 +58,20 @@ def test_errors(spark, bars):
         rewrite(spark, "SELECT ema(close, ts, volume) FROM bars")
     with pytest.raises(ValueError, match="at most"):
         rewrite(spark, "SELECT obv(close, volume, ts, 1) FROM bars")
+
+
+def test_arguments_by_name(spark, bars):
+    got = sql(spark, "SELECT round(ema(close, ts, period := 5), 9) AS a, round(ema(value := close, ts => ts, period := 5), 9) AS b FROM bars WHERE symbol = 'a'").first()
+    assert got.a == got.b == pytest.approx(bars.where("symbol = 'a'").agg(trend.ema("close", "ts", 5)).first()[0])
+    from tickloom.sources.samples import SAMPLES
+
+    options, answers = SAMPLES["read_eth"]
+    recorded = json.dumps(answers).replace("'", "''")
+    named = f"strict := true, symbols := '{options['symbols']}', blocks_per_thread := 5, responses := '{recorded}'"
+    rows = sql(spark, f"SELECT event_type FROM read_eth('coin', '', 100, 109, {named})").collect()
+    assert sorted(r[0] for r in rows) == ["Sync", "Transfer", "Unknown"]
+    for wrong in ("read_eth('coin', '', 100, 109, strict := true, strict := false)", "read_eth('coin', '', 100, 109, sym := 'x')", "read_eth('coin', to_block := 1, 'Transfer')", "read_eth('coin', address := 'x')"):
+        with pytest.raises(ValueError):
+            sql(spark, f"SELECT * FROM {wrong}")
+    with pytest.raises(ValueError):
+        rewrite(spark, "SELECT ema(close, ts, value := close) FROM bars")

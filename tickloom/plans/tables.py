@@ -39,7 +39,7 @@ def asof_join(spark: SparkSession, sf: str) -> DataFrame:
     return market.asof_join(bought, seen, "ts").select(_us("ts"), "price", _us("ts_r"), "price_r")
 
 
-def _signals(spark: SparkSession, sf: str) -> DataFrame:
+def signals(spark: SparkSession, sf: str) -> DataFrame:
     """BUY and SELL by the sign of the difference of means over 5 and 20 days of the daily market."""
     w = Window.orderBy("ts")
     # one row per day of shipment: a series whose length the calendar bounds
@@ -48,17 +48,17 @@ def _signals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backtest_equity(spark: SparkSession, sf: str) -> DataFrame:
-    e = backtest.backtest_equity(_signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
+    e = backtest.backtest_equity(signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
     return e.select(_us("ts"), _price(4), *[F.round(c, 4).alias(c) for c in ("position", "cash", "equity")])
 
 
 def backtest_trades(spark: SparkSession, sf: str) -> DataFrame:
-    t = backtest.backtest_trades(_signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
+    t = backtest.backtest_trades(signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
     return t.select(_us("entry_ts"), _us("exit_ts"), *[F.round(c, 4).alias(c) for c in ("entry_price", "exit_price", "pnl", "return")], "bars_held")
 
 
 def backtest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = backtest.backtest_stats(_signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
+    s = backtest.backtest_stats(signals(spark, sf), CAPITAL, COMMISSION, SLIPPAGE)
     return s.select("metric", F.round("value", 4).alias("value"))
 
 

@@ -29,6 +29,7 @@ def register(spark: SparkSession) -> None:
 # Settings of the session and the option of a source each stands for.
 SETTINGS = {
     "tickloom.eth_node_url": ("read_eth", "url"),
+    "tickloom.eth_symbols": ("read_eth", "symbols"),
     "tickloom.fred_api_key": ("fred_series", "api_key"),
     "tickloom.polygon_api_key": ("polygon_aggs", "api_key"),
     "tickloom.alpha_vantage_api_key": ("alpha_vantage_news", "api_key"),
