@@ -121,8 +121,10 @@ def _at_width(low: Column, high: Column, w: int) -> Column:
     return F.transform(F.sequence(F.floor(low / w).cast("int"), F.floor((high - 1) / w).cast("int")), lambda c: F.struct(F.lit(w).alias("width"), c.alias("cell")))
 
 
-def _probes(point: Column) -> Column:
-    return F.array(*[F.struct(F.lit(w).alias("width"), F.floor(point / w).cast("int").alias("cell")) for w in WIDTHS])
+def _probes(point: Column, longest: int) -> Column:
+    """The cell of a point at each width up to the first that is not below ``longest``."""
+    widths = WIDTHS[: 1 + next(k for k, w in enumerate(WIDTHS) if w >= longest)]
+    return F.array(*[F.struct(F.lit(w).alias("width"), F.floor(point / w).cast("int").alias("cell")) for w in widths])
 
 
 def locate(points: DataFrame, regions: DataFrame, keys: Sequence[str], valid: str, recorded: str) -> DataFrame:
@@ -130,7 +132,8 @@ def locate(points: DataFrame, regions: DataFrame, keys: Sequence[str], valid: st
 
     Gives one row per distinct point that lies in a region; points with nulls lie in none. Where
     ``valid`` and ``recorded`` are the same column, only the diagonal of the plane matters and
-    each region is reduced to its part of it before it is put into cells.
+    each region is reduced to its part of it before it is put into cells. Regions are cut off at the first
+    and last day of the points, which are read first, so that few widths occur and are looked at.
     """
     names = list(keys)
     if valid == recorded:
@@ -138,11 +141,13 @@ def locate(points: DataFrame, regions: DataFrame, keys: Sequence[str], valid: st
     else:
         axes = [("a", F.col("v0"), F.col("v1"), valid), ("b", F.col("r0"), F.col("r1"), recorded)]
     left, right = points.select(*names, *dict.fromkeys([valid, recorded])).dropna().distinct(), regions
+    ends = points.agg(*[f(point) for *_, point in axes for f in (F.min, F.max)]).first()
     on = list(names)
-    for axis, low, high, point in axes:
-        right = right.withColumns({f"_{axis}0": low, f"_{axis}1": high}).where(F.col(f"_{axis}0") < F.col(f"_{axis}1"))
+    for k, (axis, low, high, point) in enumerate(axes):
+        first, last = (0 if x is None else x for x in ends[2 * k : 2 * k + 2])
+        right = right.withColumns({f"_{axis}0": F.greatest(low, F.lit(first)), f"_{axis}1": F.least(high, F.lit(last + 1))}).where(F.col(f"_{axis}0") < F.col(f"_{axis}1"))
         right = right.withColumn(f"_{axis}", F.explode(_cells(F.col(f"_{axis}0"), F.col(f"_{axis}1"))))
-        left = left.withColumn(f"_{axis}", F.explode(_probes(F.col(point))))
+        left = left.withColumn(f"_{axis}", F.explode(_probes(F.col(point), last + 1 - first)))
         on.append(f"_{axis}")
     inside = F.lit(True)
     for axis, _, _, point in axes:

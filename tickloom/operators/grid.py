@@ -46,8 +46,9 @@ def regularize(df: DataFrame, key: str, date: str, value: str, freq: Column, ord
     weekend rows of freq D are left out; of repeated and equal rows one counts; a key without values gives no row.
 
     Readings are reduced to one per key and period before the merge, so that a key has no more
-    rows than the calendar has periods, however many readings it has. Readings and grid are then
-    merged in order of time, and each grid point takes the reading before it and the one after it.
+    rows than the calendar has periods, however many readings it has. In order of time each reading
+    then meets the next one, and is followed by the grid points up to it, which so have the reading
+    before them and the one after them. The table is read once and ordered once.
     """
     named = df.select(F.col(key).alias("_key"), F.col(date).cast("date").alias("_date"), F.col(value).cast("double").alias("_value"), freq.alias("_freq"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     number = period_number(F.col("_date"), F.col("_freq"))
@@ -56,16 +57,14 @@ def regularize(df: DataFrame, key: str, date: str, value: str, freq: Column, ord
         named.where(F.col("_key").isNotNull() & F.col("_date").isNotNull() & F.col("_value").isNotNull())
         .withColumn("_number", number).where(F.col("_number").isNotNull())
         .groupBy("_key", "_freq", "_number").agg(last)
-        .select("_key", "_freq", "_number", F.struct(F.col("_last._date").alias("date"), F.col("_last._value").alias("value"), "_number").alias("_here"))
+        .select("_key", "_freq", "_number", F.struct(F.col("_last._date").alias("date"), F.col("_last._value").alias("value")).alias("_before"))
     )
-    ends = readings.groupBy("_key", "_freq").agg(F.min("_number").alias("_a"), F.max("_number").alias("_b"))
-    points = ends.select("_key", "_freq", F.explode(F.sequence("_a", "_b")).alias("_number"), F.lit(None).cast(readings.schema["_here"].dataType).alias("_here"))
-    merged = readings.unionByName(points).groupBy("_key", "_freq", "_number").agg(F.max("_here").alias("_here"))
-    along = Window.partitionBy("_key", "_freq").orderBy("_number").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy("_key", "_freq").orderBy(F.col("_number").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sides = merged.withColumn("_before", F.last("_here", ignorenulls=True).over(along)).withColumn("_after", F.last("_here", ignorenulls=True).over(back))
-    start = period_start(F.col("_number"), F.col("_freq"))
-    run = F.when(F.col("_here").isNull(), F.col("_after._number") - F.col("_before._number") - 1).otherwise(0)
+    along = Window.partitionBy("_key", "_freq").orderBy("_number")
+    met = readings.withColumns({"_after": F.lead("_before").over(along), "_gap": F.coalesce(F.lead("_number").over(along) - F.col("_number") - 1, F.lit(0))})
+    sides = met.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_gap"))))
+    missing = F.col("_step") > 0
+    start = period_start(F.col("_number") + F.col("_step"), F.col("_freq"))
+    run = F.when(missing, F.col("_gap")).otherwise(0)
     span = F.datediff(F.col("_after.date"), F.col("_before.date"))
     share = F.try_divide(F.datediff(F.col("period"), F.col("_before.date")).cast("double"), span.cast("double"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
@@ -73,7 +72,7 @@ def regularize(df: DataFrame, key: str, date: str, value: str, freq: Column, ord
     return (
         sides.withColumn("period", start).withColumn("run", run.cast("bigint"))
         .select(
-            F.col("_key").alias(key), F.col("_freq").alias("freq"), "period", F.col("_here.value").alias("value"), F.col("_here").isNull().alias("missing"), "run",
-            F.when(F.col("_here").isNotNull(), F.col("_here.value")).when(F.col("run") <= gap, between).alias("filled"),
+            F.col("_key").alias(key), F.col("_freq").alias("freq"), "period", F.when(~missing, F.col("_before.value")).alias("value"), missing.alias("missing"), "run",
+            F.when(~missing, F.col("_before.value")).when(F.col("run") <= gap, between).alias("filled"),
         )
     )

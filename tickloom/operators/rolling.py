@@ -27,7 +27,7 @@ def _trailing(values: np.ndarray, start: int, period: int) -> np.ndarray:
     """
     front = start % period
     back = -(front + len(values)) % period
-    blocks = np.concatenate([np.zeros(period + front), values, np.zeros(back)]).reshape(-1, period)
+    blocks = np.concatenate([np.zeros(period + front, values.dtype), values, np.zeros(back, values.dtype)]).reshape(-1, period)
     prefix = np.cumsum(blocks, axis=1)
     suffix = np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1]
     total = prefix[1:].copy()
@@ -40,7 +40,7 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
 
     ``daily`` has at most one row per key and day (date). Days run from a key's first to ``tail``
     days after its last, whether they have a row or not; a null measure counts as 0, null keys and
-    days are left out; other columns are ignored.
+    days are left out; other columns are ignored. Totals of whole numbers are whole.
 
     Days are put together in spans of ten times the longest period, each with the days before it
     that its first windows reach back to; within a span every period has its own blocks. A task
@@ -48,7 +48,9 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
     shuffle of daily rows.
     """
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    rows = daily.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_key"), number.alias("_day"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(f"_m{i}") for i, m in enumerate(measures)])
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = ["bigint" if dict(daily.dtypes)[m] in whole else "double" for m in measures]
+    rows = daily.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_key"), number.alias("_day"), *[F.coalesce(F.col(m).cast(k), F.lit(0).cast(k)).alias(f"_m{i}") for i, (m, k) in enumerate(zip(measures, kinds))])
     rows = materialize(rows)  # read again for the first and last days
     names = [f"_m{i}" for i in range(len(measures))]
     reach = max(periods) - 1
@@ -56,7 +58,7 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
     span = F.floor(F.col("_day") / size).cast("int")
     ends = rows.groupBy("_key").agg(F.min("_day").alias("_from"), (F.max("_day") + tail).alias("_to"))
     none = F.lit(None)
-    frame = ends.select("_key", F.explode(F.sequence(F.floor(F.col("_from") / size).cast("int"), F.floor(F.col("_to") / size).cast("int"))).alias("_span"), none.cast("int").alias("_day"), *[none.cast("double").alias(n) for n in names], "_from", "_to")
+    frame = ends.select("_key", F.explode(F.sequence(F.floor(F.col("_from") / size).cast("int"), F.floor(F.col("_to") / size).cast("int"))).alias("_span"), none.cast("int").alias("_day"), *[none.cast(k).alias(n) for n, k in zip(names, kinds)], "_from", "_to")
     late = F.col("_day") >= (span + 1) * size - reach
     held = rows.select("_key", F.explode(F.when(late, F.array(span, span + 1)).otherwise(F.array(span))).alias("_span"), "_day", *names, none.cast("int").alias("_from"), none.cast("int").alias("_to"))
     kind = dict(rows.dtypes)["_key"]
@@ -79,8 +81,8 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
             out = []
             dense = []
             for n in names:
-                x = np.zeros(reach + size)
-                x[place] = group.column(n).to_numpy()[here]
+                x = np.zeros(reach + size, np.int64 if pa.types.is_integer(group.schema.field(n).type) else float)
+                x[place] = group.column(n).take(pa.array(here)).to_numpy()
                 dense.append(x)
             for w in periods:
                 out += [_trailing(x, start - reach, w)[a - start + reach : b - start + reach + 1] for x in dense]
@@ -88,5 +90,5 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(a, b + 1), pa.int32()), *map(pa.array, out)], names=["_key", "_day", *[f"_t{i}" for i in range(len(out))]])
 
     both = held.unionByName(frame).repartition("_key", "_span").sortWithinPartitions("_key", "_span")
-    totals = both.mapInArrow(run, ", ".join([f"_key {kind}", "_day int", *[f"_t{i} double" for i in range(len(labels))]]))
+    totals = both.mapInArrow(run, ", ".join([f"_key {kind}", "_day int", *[f"_t{i} {kinds[i % len(kinds)]}" for i in range(len(labels))]]))
     return totals.select(F.col("_key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day")).alias(day), *[F.col(f"_t{i}").alias(n) for i, n in enumerate(labels)])

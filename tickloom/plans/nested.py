@@ -23,11 +23,20 @@ def _holders(nodes: DataFrame) -> DataFrame:
     return roots.select("doc", "node", "ordinal").unionByName(inner.select("doc", "node", "ordinal"))
 
 
+def _chart(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole adjacency table of the chart answers."""
+    return materialize(shred(table(spark, sf, "yahoo_chart"), "response_id", "indicators"))
+
+
+def _rpc(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole adjacency table of the node answers."""
+    return materialize(shred(table(spark, sf, "json_rpc"), "rpc_id", "result"))
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    chart = materialize(shred(table(spark, sf, "yahoo_chart"), "response_id", "indicators", ["quote", "close"]))
+    chart, rpc = _chart(spark, sf), _rpc(spark, sf)
     quotes = _quotes(chart).withColumnRenamed("ordinal", "parent_pos")
     closes = children(quotes, chart.where(F.col("kind") != "null"), "close", ["parent_pos"]).select(F.lit("yahoo_chart").alias("origin"), "doc", "parent_pos", "ordinal")
-    rpc = materialize(shred(table(spark, sf, "json_rpc"), "rpc_id", "result", ["transactions", "logs"]))
     holders = _holders(rpc).withColumnRenamed("ordinal", "parent_pos")
     logs = children(holders, objects_only(rpc), "logs", ["parent_pos"]).select(F.lit("json_rpc").alias("origin"), "doc", "parent_pos", "ordinal")
     return closes.unionByName(logs).select("origin", F.col("doc").alias("record_id"), "parent_pos", F.col("ordinal").alias("child_pos"))
@@ -39,8 +48,7 @@ def objects_only(nodes: DataFrame) -> DataFrame:
 
 def p1_bars(spark: SparkSession, sf: str) -> DataFrame:
     """Bars of every quote block, with the key of the answer and the place of the block."""
-    answers = table(spark, sf, "yahoo_chart")
-    nodes = materialize(shred(answers, "response_id", "indicators", ["quote", *QUOTE_FIELDS]))
+    answers, nodes = table(spark, sf, "yahoo_chart"), _chart(spark, sf)
     quotes = _quotes(nodes)
     places = quotes.select("doc", "node", F.col("ordinal").alias("quote_pos"))
     bars = entities(quotes, nodes, QUOTE_FIELDS, by=["ordinal"])
@@ -54,7 +62,7 @@ def p1_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_logs(spark: SparkSession, sf: str) -> DataFrame:
     """Logs of every transaction and receipt with their scalar fields and number of topics."""
-    nodes = materialize(shred(table(spark, sf, "json_rpc"), "rpc_id", "result", ["transactions", "logs", "topics", *LOG_FIELDS]))
+    nodes = _rpc(spark, sf)
     holders = _holders(nodes).withColumnRenamed("ordinal", "parent_pos")
     logs = children(holders, objects_only(nodes), "logs", ["parent_pos"])
     fields = entities(logs, nodes, LOG_FIELDS)
