@@ -24,15 +24,15 @@ def _simulate(df: DataFrame, capital: float, commission: float, slippage: float,
         raise ValueError("capital must be above 0, costs must not be below 0")
     signal = F.upper(F.trim("signal"))
     rows = df.where(F.col("ts").isNotNull() & F.col("price").isNotNull()).select(*keys, "ts", F.col("price").cast("double").alias("price"), F.when(signal == "BUY", 1).when(signal == "SELL", 0).alias("turn"))
-    order = ["ts", "price", "turn"]
-    now = scan(rows, keys, order, day("ts"), last={"long": F.col("turn")}, total={"bar": F.lit(1)})
-    then = scan(now, keys, ["ts", "bar"], day("ts"), last={"was": F.struct(F.coalesce("long", F.lit(0)).alias("long"), F.col("price").alias("price"))}, before=True)
-    long, was = F.coalesce(F.col("long"), F.lit(0)) == 1, F.coalesce(F.col("was.long"), F.lit(0)) == 1
-    kept = F.try_divide(F.col("price"), F.col("was.price"))
+    # all that a row needs of those before it comes from one scan: the last signal, the price, and how many there are
+    then = scan(rows, keys, ["ts", "price", "turn"], day("ts"), last={"signal": F.col("turn"), "price_before": F.col("price")}, total={"bars": F.lit(1)}, before=True)
+    long, was = F.coalesce(F.col("turn"), F.col("signal"), F.lit(0)) == 1, F.coalesce(F.col("signal"), F.lit(0)) == 1
+    kept = F.try_divide(F.col("price"), F.col("price_before"))
     factor = F.when(long & ~was, 1 / ((1 + commission) * (1 + slippage))).when(long, kept).when(was, kept * ((1 - slippage) * (1 - commission))).otherwise(1.0)
-    rows = then.withColumns({"buys": (long & ~was).cast("int"), "sells": (was & ~long).cast("int"), "open": long, "rate": F.when(factor > 0, F.ln(factor)).otherwise(F.lit(float("-inf")))})
-    run = scan(rows, keys, ["ts", "bar"], day("ts"), total={"growth": F.col("rate"), "trade": F.col("buys")})
-    return run.withColumn("equity", F.lit(float(capital)) * F.exp("growth")).drop("turn", "long", "was", "growth")
+    moves = then.withColumns({"bar": F.coalesce("bars", F.lit(0)) + 1, "buys": (long & ~was).cast("int"), "sells": (was & ~long).cast("int"), "open": long, "factor": factor}).drop("turn", "signal", "price_before", "bars")
+    rate = F.when(F.col("factor") > 0, F.ln("factor")).otherwise(F.lit(float("-inf")))
+    run = scan(moves, keys, ["ts", "bar"], day("ts"), total={"growth": rate, "trade": F.col("buys")})
+    return run.withColumn("equity", F.lit(float(capital)) * F.exp("growth")).drop("growth")
 
 
 def backtest_equity(df: DataFrame, capital: float, commission: float = 0.0, slippage: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -67,8 +67,7 @@ def backtest_stats(df: DataFrame, capital: float, commission: float = 0.0, slipp
     """``(keys, metric, value)``: the statistics of ``METRICS`` for each key with rows, a year being 252 rows."""
     e = materialize(_simulate(df, capital, commission, slippage, keys))  # read for the rows and for the trades
     run = scan(e, keys, ["ts", "bar"], day("ts"), greatest={"peak": F.col("equity")})
-    run = scan(run, keys, ["ts", "bar"], day("ts"), last={"before": F.col("equity")}, before=True)
-    r = F.when(F.col("before") > 0, F.col("equity") / F.col("before") - 1)
+    r = F.when((F.col("bar") > 1) & (F.col("equity") > 0) | (F.col("factor") == 0), F.col("factor") - 1)
     bars = run.groupBy(*keys).agg(
         F.max_by("equity", "bar").alias("final_equity"), F.count("*").alias("n"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("sd"), F.coalesce(F.avg(r), F.lit(0.0)).alias("mean"),
         F.min(F.least(F.lit(0.0), F.when(F.col("peak") > 0, F.col("equity") / F.col("peak") - 1))).alias("max_drawdown"),

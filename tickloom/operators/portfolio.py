@@ -29,19 +29,31 @@ def moments(df: DataFrame, ts: str = "ts", symbol: str = "symbol", ret: str = "r
     n = counts[0].n
     if any(c.n != n for c in counts) or n < 2:
         raise ValueError("all symbols need the same number of returns, at least two")
-    # the returns of one time, at most one per symbol, meet in one row
-    panel = rows.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("s", "r"))).alias("x"))
-    pairs = panel.select(F.posexplode("x").alias("i", "a"), "x").select("a", F.explode(F.slice("x", F.col("i") + 1, MOST)).alias("b"))
-    found = pairs.groupBy(F.col("a.s").alias("a"), F.col("b.s").alias("b")).agg(F.count("*").alias("n"), F.covar_samp("a.r", "b.r").alias("c")).collect()
     place = {c.s: i for i, c in enumerate(counts)}
+    mean = np.array([c.m for c in counts])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, whole = np.zeros((len(place), len(place))), True
+        for batch in batches:
+            for names, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                whole = whole and len(names) == len(place) == len(set(names))
+                if whole:
+                    at = np.array([place[x] for x in names])
+                    apart = np.zeros(len(place))
+                    apart[at] = np.array(values) - mean[at]
+                    total += np.outer(apart, apart)
+        rows = [total[i].tolist() if whole else [] for i in range(len(place))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(place)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["i", "x"])
+
+    # the returns of one time, at most one per symbol, meet in one row; a task adds up the products of its times
+    panel = rows.groupBy("t").agg(F.collect_list("s").alias("s"), F.collect_list("r").alias("r")).select("s", "r")
+    parts = panel.mapInArrow(products, "i int, x array<double>")
     cov = np.zeros((len(place), len(place)))
-    for p in found:
-        if p.n != n:
-            raise ValueError("symbols have returns at different times")
-        cov[place[p.a], place[p.b]] = cov[place[p.b], place[p.a]] = p.c
-    if len(found) != len(place) * (len(place) + 1) // 2:
+    cells = parts.select("i", F.posexplode_outer("x").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    if cells.column("j").null_count:
         raise ValueError("symbols have returns at different times")
-    return list(place), np.array([c.m for c in counts]), cov, float(n)
+    cov[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("v").to_numpy() / (n - 1)
+    return list(place), mean, cov, float(n)
 
 
 def _inverse(cov: np.ndarray) -> np.ndarray:
