@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tickloom.llm.leakage import Matching, _Block, _in_order, _Passages, alike, build_index, leaks, words
+from tickloom.llm.leakage import _AT, Matching, _Block, _in_order, _Passages, alike, build_index, leaks, words
 
 RNG = random.Random(8)
 VOCABULARY = ["".join(RNG.choice("bdfgklmprst") + RNG.choice("aeiou") for _ in range(3)) for _ in range(300)]
@@ -122,7 +122,7 @@ def test_lists_are_intersected_from_the_rarest_term_on(spark):
         got = set()
         for r in rows:
             which, where = _Block(list(r.terms), bytes(r.first), bytes(r.pages), bytes(r.positions), passages).phrases(distinct, order)
-            got |= {(r.ids[w >> 22], int(w & (1 << 22) - 1), tuple(distinct[k].tolist())) for k, w in zip(which.tolist(), where.tolist())}
+            got |= {(r.ids[w >> _AT], int(w & (1 << _AT) - 1), tuple(distinct[k].tolist())) for k, w in zip(which.tolist(), where.tolist())}
         assert got == {x for x in want if x[2] in known}
 
 

@@ -31,8 +31,8 @@ _WORD = re.compile(r"[^\W_]+")
 # Characters that print readers confuse, by one that stands for all of its group.
 _CONFUSED = str.maketrans("c0ovu1j58hqf", "eaarnlisbbgt")
 _JOINED = (("vv", "w"), ("rn", "m"), ("cl", "d"))
-#: Bits of a posting: page within its block, position within its page.
-_PAGE, _AT = 16, 22
+#: Bits of a posting: term, page within its block, position within its page.
+_TERM, _PAGE, _AT = 20, 14, 28
 #: Postings intersected at once, to bound memory.
 _AT_ONCE = 500_000
 
@@ -89,6 +89,8 @@ class _Passages:
         self.terms: dict[str, int] = {}
         self.ids = [np.array([self.terms.setdefault(alike(t), len(self.terms)) for t in w], np.int64) for w in by_words]
         self.words = list(by_words)
+        if len(self.terms) >= 1 << _TERM:
+            raise ValueError(f"at most {1 << _TERM} terms at once; lower Matching.most")
         self.lengths = np.array([len(x) for x in self.ids], np.int64)
         self.sizes = np.minimum(phrase, (self.lengths + 1) // 2)
         self.phrases: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []

@@ -125,10 +125,12 @@ def lookalikes(df: DataFrame, doc: str, text: str, confusables: str | None = Non
     variants = forms.groupBy("form", "original").agg(F.count("*").alias("n"))
     several = variants.groupBy("form").agg(F.count("*").alias("texts"), F.ceil(F.sum("n") / size).cast("int").alias("parts")).where("texts > 1").select("form", "parts")
     rows = forms.where("doc IS NOT NULL").join(several, "form")
-    texts = rows.select("form", "original").distinct()
-    pairs = texts.withColumnRenamed("original", "one").join(texts.withColumnRenamed("original", "other"), "form").where("one < other")
-    left = rows.withColumnRenamed("original", "one").join(pairs, ["form", "one"]).select("form", "other", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.col("doc").alias("a"))
-    right = rows.select("form", F.col("original").alias("other"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"), F.col("doc").alias("b"))
+    texts = rows.select("form", "original", "parts").distinct()
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part")
+    pairs = texts.withColumnRenamed("original", "one").join(texts.select("form", F.col("original").alias("other")), "form").where("one < other")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part")
+    left = rows.select("form", F.col("original").alias("one"), part, F.col("doc").alias("a")).join(pairs.select("form", "one", "other", every), ["form", "one", "part"])
+    right = rows.select("form", F.col("original").alias("other"), every, F.col("doc").alias("b"))
     return left.join(right, ["form", "other", "part"]).where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
 
 
