@@ -302,10 +302,21 @@ class _Held:
                     wrong += sum(map(str.__ne__, there, here)) if len(there) == len(here) else abs(len(there) - len(here))
         return wrong <= self.m.misread * letters
 
-    def pieces(self, at: np.ndarray, place: np.ndarray) -> tuple[float, int, int]:
-        """The share held by the two largest pieces, their number, and where the larger begins."""
+    def _whole(self, runs: list) -> bool:
+        """Whether the passage's very words stand there one after the other."""
+        place = np.arange(len(self.ids))
+        for a, _, q, r in runs:
+            if r - q == len(place):
+                entry = self.block.find(self.ids, self.page | (a + place))
+                if (entry >= 0).all() and all(self.block.words[self.block.word[e]] == w for e, w in zip(entry, self.words)):
+                    return True
+        return False
+
+    def pieces(self, at: np.ndarray, place: np.ndarray) -> tuple[float, int, int, bool]:
+        """The share held by the two largest pieces, their number, where the larger begins, and whether the passage is there as it is."""
         length = len(self.ids)
         runs = _runs(at, place, self.size, self.m.hole)
+        whole = self._whole(runs)
         seen = np.zeros(length, bool)
         found: list[tuple[int, list]] = []
         while runs and len(found) < 2:
@@ -325,11 +336,11 @@ class _Held:
             runs = sorted(rest)
         share = float(seen.mean())
         if share < self.m.share or not self._read_right([run for _, chain in found for run in chain]):
-            return 0.0, 0, 0
-        return share, len(found), found[0][0]
+            return 0.0, 0, 0, False
+        return share, len(found), found[0][0], whole
 
 
-_FOUND = "doc bigint, item bigint, held double, pieces bigint, position bigint"
+_FOUND = "doc bigint, item bigint, held double, pieces bigint, position bigint, whole boolean"
 
 
 def _search(index: DataFrame, passages: _Passages, frequency: np.ndarray, m: Matching) -> DataFrame:
@@ -368,11 +379,11 @@ def _search(index: DataFrame, passages: _Passages, frequency: np.ndarray, m: Mat
                 block = _Block(terms.as_py(), first.as_py(), pages.as_py(), positions.as_py(), passages)
                 found: list[tuple] = []
                 for page, p, at, place in candidates(block):
-                    held, pieces, position = _Held(block, page, passages.ids[p], passages.words[p], int(passages.sizes[p]), m).pieces(at, place)
+                    held, pieces, position, whole = _Held(block, page, passages.ids[p], passages.words[p], int(passages.sizes[p]), m).pieces(at, place)
                     if pieces:
-                        found += [(ids[page].as_py(), item, held, pieces, position) for item in passages.items[p]]
+                        found += [(ids[page].as_py(), item, held, pieces, position, whole) for item in passages.items[p]]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc", "item", "held", "pieces", "position"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc", "item", "held", "pieces", "position", "whole"])
 
     return index.mapInArrow(run, _FOUND)
 
@@ -398,10 +409,11 @@ def _frequencies(index: DataFrame, passages: _Passages) -> np.ndarray:
 
 
 def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, matching: Matching = Matching()) -> DataFrame:
-    """Documents that hold at least ``share`` of a passage: ``(doc, item, held, pieces, position)``.
+    """Documents that hold at least ``share`` of a passage: ``(doc, item, held, pieces, position, whole)``.
 
     ``held`` is the share of the passage's words found in their order in one or two pieces,
-    ``position`` the word at which the larger piece begins. Items that share a passage are given
+    ``position`` the word at which the larger piece begins, ``whole`` says that the passage's very words
+    stand there as an exact phrase. Items that share a passage are given
     each, and so are copies of a document. Null and empty texts and passages match nothing, a null
     document id stays null; a passage of few words is found by phrases of half its words. Other
     columns are ignored.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import leakage, packing, skeleton, survivors
@@ -98,16 +98,32 @@ def p7_steps(spark: SparkSession, sf: str) -> DataFrame:
     return steps.groupBy("step_id").agg(F.count("*").alias("containers"), *totals, F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 6).alias("filled"))
 
 
+def p7_sound(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages in all and in containers; pieces short of a container though their page goes on, beginning before the one before them ends, or reaching over their window."""
+    packed = p7_packing(spark, sf)
+    last, end = F.max("piece").over(Window.partitionBy("doc_id")), F.col("offset") + F.col("n_tokens")
+    alone = F.when(F.col("container_id").isNull(), F.col("doc_id"))  # pages without tokens are in no container
+    before = F.lag(end).over(Window.partitionBy("container_id", alone).orderBy("offset"))
+    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    marked = packed.select("*", ((F.col("piece") < last) & (F.col("n_tokens") < CAPACITY)).alias("short"), (F.col("container_id").isNotNull() & (before > F.col("offset"))).alias("over"), (F.col("offset") % F.col("window") + F.col("n_tokens") > F.col("window")).alias("beyond"))
+    return marked.agg(F.count_distinct("doc_id").alias("pages"), F.count_distinct(F.when(F.col("container_id").isNotNull(), F.col("doc_id"))).alias("packed"), count(F.col("short"), "split_short"), count(F.col("over"), "overlaps"), count(F.col("beyond"), "overfull"))
+
+
 def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Pages and the items they give away, with the share of the passage, its pieces and where it begins."""
     found = leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage")
-    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("held", 6).alias("held"), "pieces", "position")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("held", 6).alias("held"), "pieces", "position", "whole")
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_matches(spark, sf).select("doc_id", "item_id")
 
 
+def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages on which a passage stands word for word."""
+    return p8_matches(spark, sf).where("whole").select("doc_id", "item_id")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return skeleton.lookalikes(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -123,13 +139,23 @@ QUERIES = {
     "p6_sources": p6_sources,
     "p7_packing": p7_packing,
     "p7_steps": p7_steps,
+    "p7_sound": p7_sound,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
+    "p8_whole": p8_whole,
     "p9_found": p9_found,
     "p9_classes": p9_classes,
 }
 
 _BEST = """coalesce(first(fact_id ORDER BY {0} IS NULL, a, b, c, fact_id) FILTER (WHERE {0} IS NOT NULL), 0) AS {1}_from"""
+
+
+def _words(text: str) -> str:
+    """The words of a text with a blank around each."""
+    plain = f"lower(strip_accents({skeleton.sql_form(text)}))"
+    return f"' ' || trim(regexp_replace(regexp_replace({plain}, '-[^\\S\\n]*\\n\\s*', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+
+
 _FORMS = f"WITH f AS (SELECT doc_id, text, {skeleton.sql_form('text')} AS form FROM documents WHERE text IS NOT NULL)"
 ORACLE: dict[str, str] = {
     "p6_found": f"""WITH f AS (SELECT *, {CONCEPT} AS k, regexp_replace(upper(form), '[^A-Z0-9]', '', 'g') AS g, coalesce(filed >= period_end, false) AS ok
@@ -138,6 +164,8 @@ h AS (SELECT *, CASE WHEN g IN ('10K', '10Q', '10KA', '10QA') THEN 0 ELSE 1 END
  CASE WHEN period_end - lag(period_end) OVER w <= {APART} THEN 0 ELSE 1 END AS s FROM f WINDOW w AS (PARTITION BY cik, k ORDER BY period_end)),
 p AS (SELECT *, sum(s) OVER (PARTITION BY cik, k ORDER BY period_end) AS n FROM h)
 SELECT min(fact_id) AS first_id, {", ".join(_BEST.format(f, name) for f, name in FIELDS.items())} FROM p GROUP BY cik, k, n HAVING count(*) >= 2""",
+    "p7_sound": "SELECT count(*) AS pages, count(*) FILTER (WHERE text <> '') AS packed, 0 AS split_short, 0 AS overlaps, 0 AS overfull FROM documents",
+    "p8_whole": f"SELECT doc_id, item_id FROM (SELECT doc_id, {_words('text')} AS page FROM documents) JOIN (SELECT item_id, {_words('passage')} AS part FROM eval_items WHERE passage <> '') ON contains(page, part)",
     "p9_found": f"""{_FORMS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
     "p9_classes": f"""{_FORMS} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(DISTINCT text) OVER (PARTITION BY form) AS variants FROM f""",
 }
