@@ -30,6 +30,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_flags(spark, sf).where("kind <> 'shift'").select("row_id").distinct()
 
 
+def p4_impossible(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that cannot exist, with their column."""
+    return p4_flags(spark, sf).where("kind = 'impossible'").select("row_id", "measure")
+
+
 def p3_rolling(spark: SparkSession, sf: str) -> DataFrame:
     """Volume totals and average closes over 7 and 30 days, by symbol and calendar day."""
     rows = table(spark, sf, "yahoo_finance").select(symbol().alias("symbol"), "ts", "fetched_at", "row_id", "close", "volume").where("ts IS NOT NULL")
@@ -76,7 +81,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_grid(spark, sf).where(F.col("missing") & (F.col("run") <= GAP)).select("origin", "series", "period")
 
 
-QUERIES = {"p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_flags": p4_flags, "p5_found": p5_found, "p5_grid": p5_grid}
+QUERIES = {"p3_found": p3_found, "p3_rolling": p3_rolling, "p4_found": p4_found, "p4_flags": p4_flags, "p4_impossible": p4_impossible, "p5_found": p5_found, "p5_grid": p5_grid}
 
 _ROLLING = """WITH readings AS (
  SELECT upper(trim(symbol)) AS s, ts, close, greatest(coalesce(volume, 0), 0) AS v FROM yahoo_finance WHERE ts IS NOT NULL
@@ -105,6 +110,7 @@ heads AS (SELECT origin, s, freq, g - 1 AS g, v AS vb, d AS db FROM grid WHERE v
 """
 
 ORACLE = {
+    "p4_impossible": """SELECT row_id, measure FROM (SELECT row_id, unnest(['close', 'adj_close', 'volume']) AS measure, unnest([close <= 0, adj_close <= 0, volume < 0]) AS bad FROM yahoo_finance) WHERE bad""",
     "p3_found": _ROLLING + "SELECT s AS symbol, strftime(d, '%Y-%m-%d') AS day FROM rolled WHERE 2 * v7 > v30 AND v30 > v7",
     "p3_rolling": _ROLLING
     + """SELECT s AS symbol, strftime(d, '%Y-%m-%d') AS day, CAST(coalesce(v7, 0) AS BIGINT) AS volume_7, CAST(coalesce(v30, 0) AS BIGINT) AS volume_30,
