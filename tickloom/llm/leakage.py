@@ -17,6 +17,7 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -423,20 +424,19 @@ def leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str
     """
     index = materialize(build_index(documents, doc, text, matching.block))
     rows = items.where(F.col(passage).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("bigint"), passage)
-    out: DataFrame | None = None
 
     def search(turn: list[tuple[int, list[str]]]) -> DataFrame:
         passages = _Passages(turn, matching.phrase)
-        found = _search(index, passages, _frequencies(index, passages), matching)
-        return found if out is None else out.unionByName(found)
+        return _search(index, passages, _frequencies(index, passages), matching)
 
+    done: list[DataFrame] = []
     held: list[tuple[int, list[str]]] = []
     size = 0
     for row in rows.toLocalIterator():
         own = words(row[1])
         if size and size + len(own) > matching.most:
-            out = search(held)
+            done.append(materialize(search(held)))  # written, so that the driver can let go of the passages
             held, size = [], 0
         held.append((row[0], own))
         size += len(own)
-    return search(held)
+    return reduce(DataFrame.unionByName, done, search(held))
