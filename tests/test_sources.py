@@ -51,6 +51,14 @@ def test_chain(spark):
     assert resolve("usdt", {"USDT": "0x1"}, "address") == "0x1"
 
 
+def test_only_wanted_columns_are_made(spark):
+    assert rows(spark, "yahoo_finance", columns="close, symbol")[0] == (11.0, "AAA")
+    assert sorted(rows(spark, "read_eth", columns="log_index,event_type")) == [(0, "Transfer"), (1, "Sync"), (2, "Unknown")]
+    assert sorted((r[0] for r in rows(spark, "read_eth", columns="data")), key=len)[2] == [Decimal(123456789), Decimal(0)]
+    with pytest.raises(Exception, match="no columns x"):
+        rows(spark, "coingecko", columns="close,x")
+
+
 @pytest.mark.parametrize(
     "source, options",
     [(YahooFinance, {"symbols": "A", "from": "2024-01-02", "to": "2024-01-01"}), (YahooFinance, {"symbols": "A", "from": "2024-01-01", "to": "2024-01-02", "interval": "2d"}), (BinanceKlines, {"symbol": "A", "limit": "1001"}), (PolygonAggs, {"symbol": "A", "from": "x", "to": "y", "multiplier": "0", "api_key": "k"}), (FredSeries, {"series": "A"}), (SecFilings, {})],

@@ -29,10 +29,11 @@ def prepare(df: DataFrame, keys: Sequence[str], ts: str, fields: Sequence[str],
     rows = df.select(*keys, ts, *[F.col(f).cast("double").alias(f) for f in fields]).dropna(subset=[ts, *fields])
     place = F.coalesce("_r", F.lit(0)) + 1
     placed = scan(rows, keys, [ts, *fields], day(ts) if slot is None else slot, last={"_b": F.struct(*fields)}, total={"_r": F.lit(1)}, before=True)
-    ends = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k")]).agg(F.count("*").alias("_n"), F.max(ts).alias("_e"))
-    on = F.lit(True) if keys else F.col("_z") == F.col("_k")
-    if not keys:  # all rows are one series, and meet their one summary by a constant
-        placed = placed.withColumn("_z", F.lit(0))
+    ends = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_n"), F.max(ts).alias("_e"))
+    on = F.lit(True)
+    if not keys:  # all rows are one series, and meet their one summary by a number that is 0 on both sides
+        placed, ends = placed.withColumn("_z", place * 0), ends.withColumn("_k", F.col("_n") * 0)
+        on = F.col("_z") == F.col("_k")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return placed.join(ends, on).withColumn("_i", place).drop("_r", "_k", "_z", *[f"_k{i}" for i in range(len(keys))])

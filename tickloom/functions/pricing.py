@@ -84,6 +84,14 @@ def bs_vega(spot: Value, strike: Value, years: Value, rate: Value, sigma: Value)
     return _black_scholes(spot, strike, years, rate, sigma, lambda s, k, t, r, v, d1, d2: s * norm_pdf(d1) * F.sqrt(t) / 100)
 
 
+# Fixed values, on which the results of searches depend: their most steps; the start of volatilities, their
+# least vega and error, and what takes the place of one below 0; the start of yields without a coupon, their
+# least error and slope, the least yield, and what takes the place of a lower one.
+STEPS = 100
+VOLATILITY_START, VOLATILITY_SLOPE, VOLATILITY_ERROR, VOLATILITY_FLOOR = 0.3, 1e-12, 1e-8, 0.001
+YIELD_START, YIELD_ERROR, YIELD_SLOPE, YIELD_LEAST, YIELD_FLOOR = 0.05, 1e-9, 1e-14, -0.999, -0.99
+
+
 def _cdf(x: np.ndarray) -> np.ndarray:
     z = np.abs(x) / math.sqrt(2)
     erf = 1 - _polynomial(1 / (1 + _SCALE * z)) * np.exp(-z * z)
@@ -94,10 +102,10 @@ def _cdf(x: np.ndarray) -> np.ndarray:
 def _implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, call: pd.Series) -> pd.Series:
     p, s, k, t, r = (x.to_numpy(dtype=float, na_value=np.nan) for x in (price, spot, strike, years, rate))
     is_call = call.to_numpy(dtype=bool, na_value=False)
-    sigma = np.full(len(p), 0.3)
+    sigma = np.full(len(p), VOLATILITY_START)
     live = np.flatnonzero((s > 0) & (k > 0) & (t > 0))
     with np.errstate(all="ignore"):
-        for _ in range(100):
+        for _ in range(STEPS):
             if not len(live):
                 break
             a, b, c, d, v = s[live], k[live], t[live], r[live], sigma[live]
@@ -107,10 +115,10 @@ def _implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd
             model = np.where(is_call[live], a * _cdf(d1) - low * _cdf(d2), low * _cdf(-d2) - a * _cdf(-d1))
             vega = a * np.exp(-0.5 * d1 * d1) / math.sqrt(2 * math.pi) * root
             off = model - p[live]
-            go = (vega >= 1e-12) & (np.abs(off) >= 1e-8)
+            go = (vega >= VOLATILITY_SLOPE) & (np.abs(off) >= VOLATILITY_ERROR)
             live = live[go]
             moved = v[go] - off[go] / vega[go]
-            sigma[live] = np.where(moved <= 0, 0.001, moved)
+            sigma[live] = np.where(moved <= 0, VOLATILITY_FLOOR, moved)
     return pd.Series(np.where(np.isnan(p) | np.isnan(s), np.nan, sigma))
 
 
@@ -217,22 +225,22 @@ def _yield(price: pd.Series, face: pd.Series, coupon: pd.Series, periods: pd.Ser
     for length in np.unique(n[valid]):
         rows = valid[n[valid] == length]
         t = np.arange(1, int(length) + 1)
-        rate = np.where(c[rows] > 0, c[rows], 0.05)
+        rate = np.where(c[rows] > 0, c[rows], YIELD_START)
         flow = np.repeat((f[rows] * c[rows] / q[rows])[:, None], len(t), axis=1)
         flow[:, -1] += f[rows]
         live = np.arange(len(rows))
         with np.errstate(all="ignore"):
-            for _ in range(100):
+            for _ in range(STEPS):
                 if not len(live):
                     break
                 base = 1 + rate[live] / q[rows[live]]
                 present = flow[live] / base[:, None] ** t
                 off = present.sum(axis=1) - p[rows[live]]
                 slope = -(present * t).sum(axis=1) / base / q[rows[live]]
-                go = (np.abs(off) >= 1e-9) & (np.abs(slope) >= 1e-14)
+                go = (np.abs(off) >= YIELD_ERROR) & (np.abs(slope) >= YIELD_SLOPE)
                 live = live[go]
                 moved = rate[live] - off[go] / slope[go]
-                rate[live] = np.where(moved <= -0.999, -0.99, moved)
+                rate[live] = np.where(moved <= YIELD_LEAST, YIELD_FLOOR, moved)
         out[rows] = rate
     return pd.Series(out)
 

@@ -155,13 +155,13 @@ class EthLogs(RestSource):
         if "result" not in answer:
             raise OSError(f"the node answered {json.dumps(answer)[:300]}")
         strict = self.options.get("strict", "false").lower() == "true"
-        names = {v: k for k, v in topics().items()}
+        names, decoded = {v: k for k, v in topics().items()}, self.wants("data")
         for x in answer["result"]:
             seen = x.get("topics") or []
             kind = names.get(seen[0], "Unknown") if seen else "Unknown"
             data = (x.get("data") or "0x")[2:]
             parts = [data[:64], data[64:128]] if kind == "Sync" else [data]
-            values = [word(p, strict) for p in parts]
+            values = [word(p, strict) for p in parts] if decoded else []
             yield x.get("address"), kind, x.get("blockHash"), _int(x.get("blockNumber")), values, x.get("data"), _int(x.get("logIndex")), bool(x.get("removed", False)), seen[1:], x.get("transactionHash"), _int(x.get("transactionIndex"))
 
 

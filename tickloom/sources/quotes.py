@@ -32,7 +32,7 @@ class YahooFinance(RestSource):
     NAME = "yahoo_finance"
     _FIELDS = ("open", "high", "low", "close", "adj_close", "volume")
 
-    def schema(self) -> str:
+    def every(self) -> str:
         if self.options.get("arrays", "false").lower() == "true":
             return "symbol string, date array<date>, open array<double>, high array<double>, low array<double>, close array<double>, adj_close array<double>, volume array<bigint>"
         return "symbol string, date date, open double, high double, low double, close double, adj_close double, volume bigint"

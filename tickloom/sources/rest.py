@@ -2,12 +2,14 @@
 
 Planning only lists requests; answers are fetched in tasks. With the option ``responses`` they
 come from a JSON object of address to answer instead of the network: the object itself, or the
-path of a file that holds it.
+path of a file that holds it. The option ``columns`` names the columns wanted; others are neither
+made nor sent to Spark.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -19,6 +21,10 @@ from typing import Any
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+#: Between the columns of a schema, not within the brackets of a type.
+_COLUMNS = re.compile(r",\s*(?![^(<]*[)>])")
+
+
 @dataclass(frozen=True)
 class Request:
     """An address, with a body for a POST; ``about`` is what the rows need to know of it."""
@@ -79,9 +85,20 @@ class RestSource(DataSource):
     def name(cls) -> str:
         return cls.NAME
 
-    def schema(self) -> str:
+    def every(self) -> str:
+        """The schema with all columns."""
         return self.SCHEMA
 
+    def schema(self) -> str:
+        kinds = {c.split()[0]: c for c in _COLUMNS.split(self.every())}
+        wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
+        if unknown := set(wanted) - kinds.keys():
+            raise ValueError(f"{self.NAME} has no columns {', '.join(sorted(unknown))}")
+        return ", ".join(kinds[c] for c in wanted or kinds)
+
+    def wants(self, column: str) -> bool:
+        return column in {c.split()[0] for c in _COLUMNS.split(self.schema())}
+
     def reader(self, schema: Any) -> DataSourceReader:
         self.check()
         return _Reader(self)
@@ -119,7 +136,10 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         request = partition.request
-        return self.source.rows(fetch(request, dict(self.source.options), self.source.headers()), request)
+        names = [c.split()[0] for c in _COLUMNS.split(self.source.every())]
+        wanted = [names.index(c.split()[0]) for c in _COLUMNS.split(self.source.schema())]
+        for row in self.source.rows(fetch(request, dict(self.source.options), self.source.headers()), request):
+            yield tuple(row[k] for k in wanted)
 
 
 def millis(x: Any) -> datetime | None:

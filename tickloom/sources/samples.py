@@ -18,6 +18,7 @@ def _eth(first: int, last: int, logs: list[dict]) -> tuple[str, dict]:
     return f"http://127.0.0.1:8545{body}", {"result": logs}
 
 
+# The addresses and the keys of the answers, as the public interfaces have them; all else is invented.
 #: By source: options, and answers by address.
 SAMPLES: dict[str, tuple[dict[str, str], dict[str, object]]] = {
     "yahoo_finance": (
