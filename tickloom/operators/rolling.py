@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import sorted_groups
+from tickloom.operators.blocks import sorted_groups, together
 from tickloom.session import materialize
 
 
@@ -90,5 +90,5 @@ def trailing_totals(daily: DataFrame, key: str, day: str, measures: Sequence[str
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(a, b + 1), pa.int32()), *map(pa.array, out)], names=["_key", "_day", *[f"_t{i}" for i in range(len(out))]])
 
     both = held.unionByName(frame).repartition("_key", "_span").sortWithinPartitions("_key", "_span")
-    totals = both.mapInArrow(run, ", ".join([f"_key {kind}", "_day int", *[f"_t{i} {kinds[i % len(kinds)]}" for i in range(len(labels))]]))
+    totals = both.mapInArrow(lambda batches: together(run(batches)), ", ".join([f"_key {kind}", "_day int", *[f"_t{i} {kinds[i % len(kinds)]}" for i in range(len(labels))]]))
     return totals.select(F.col("_key").alias(key), F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day")).alias(day), *[F.col(f"_t{i}").alias(n) for i, n in enumerate(labels)])
