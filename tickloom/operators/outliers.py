@@ -13,6 +13,7 @@ are tested apart.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import hot_keys, hot_places, in_blocks, joined_runs, sorted_groups
+from tickloom.operators.blocks import hot_keys, hot_places, in_blocks, joined_runs, sorted_groups, together
 from tickloom.session import materialize
 
 #: Bins of the mergeable histograms: logarithms of absolute changes, ratios of successive changes,
@@ -358,7 +359,6 @@ _FLAGS = pa.schema([("row", pa.int64()), ("measure", pa.string()), ("kind", pa.s
 #: What the rows of a look at a block tell: histogram bins, lengths of runs, runs at the edges, and what was given.
 _SIZE, _RATIOS, _DEPARTED, _RUN, _EDGE, _GIVEN = range(6)
 _LOOK = pa.schema([("key", pa.string()), ("measure", pa.int32()), ("what", pa.int32()), ("block", pa.int32()), ("side", pa.int32()), ("bin", pa.int64()), ("n", pa.int64()), ("value", pa.float64())])
-_CARRIED = "array<struct<measure: int, side: int, before: bigint, total: bigint>>"
 _LOOKED = "key string, measure int, what int, block int, side int, bin bigint, n bigint, value double"
 
 
@@ -404,14 +404,26 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
     sort = ["key", "block", "ts", *[f"_o{i}" for i in range(len(order))], "row"]
     columns = ["key", "block", "ts", "row", "own", *names]
 
-    def fits(given: list[float] | None) -> list[Fit] | None:
-        return given and [Fit(*given[4 * k : 4 * k + 4]) for k in range(len(measures))]
+    def told(group: pa.Table) -> tuple[list[Fit] | None, list[dict]]:
+        """What is known of a block by its other blocks, from its first row: the fits, and the runs at its edges."""
+        text = group.column("known")[0].as_py()
+        if text is None:
+            return None, []
+        known = json.loads(text)
+        given = [float(x) for x in known["given"]]
+        return [Fit(*given[4 * k : 4 * k + 4]) for k in range(len(measures))], known.get("edges", [])
+
+    def knowing(blocks: DataFrame, known: DataFrame) -> DataFrame:
+        """The rows of blocks, each block led by a row without values that has in ``known`` what is known of it."""
+        facts = [F.col(c) for c in known.columns if c not in ("key", "block")]
+        lead = known.select("key", "block", F.lit(_UNTIMED - 1).alias("ts"), F.lit(False).alias("own"), F.to_json(F.struct(*facts)).alias("known"))
+        return blocks.unionByName(lead, allowMissingColumns=True).repartition("key", "block")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
             at, own, values = _arrays(group, names)
             block = group.column("block")[0].as_py()
-            fitted = fits(group.column("given")[0].as_py()) if "given" in group.column_names else None
+            fitted = told(group)[0] if "known" in group.column_names else None
             out: list[tuple] = []
             for k, (value, measure) in enumerate(zip(values, measures)):
                 r = _Readings(at, value, own, measure)
@@ -461,11 +473,11 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
         return bins.groupBy("key").agg(F.collect_list(F.struct("measure", "what", "bin", "n", "value")).alias("summary")).mapInArrow(fitting, "key string, given array<double>")
 
     def looked(blocks: DataFrame, *more: str) -> DataFrame:
-        return materialize(blocks.sortWithinPartitions(*sort).select(*columns, *more).mapInArrow(look, _LOOKED))
+        return materialize(blocks.sortWithinPartitions(*sort).select(*columns, *more).mapInArrow(lambda batches: together(look(batches)), _LOOKED))
 
     alone = rows.select("*", F.lit(0).alias("block"), F.lit(True).alias("own"))
     if large.isEmpty():
-        spread = alone.repartition("key").sortWithinPartitions(*sort).select(*columns, F.lit(None).cast("array<double>").alias("given"), F.lit(None).cast(_CARRIED).alias("edges"))
+        spread = alone.withColumn("known", F.lit(None).cast("string")).repartition("key")
     else:
         mine = F.col("key") == F.col("_key")
         stored = materialize(rows.join(large, mine, "left_semi"))
@@ -476,17 +488,13 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
         given = fitted(first.where(F.col("what") != _EDGE).select(*ended.columns).unionByName(ended))
         edges = runs.groupBy("key", "block").agg(F.collect_list(F.struct("measure", "side", "before", "total")).alias("edges"))
         known = materialize(edges.join(given, "key"))
-        second = looked(hot.repartition("key", "block").join(known.drop("edges"), ["key", "block"]), "given")
-        known = materialize(known.drop("given").join(fitted(second), "key"))
-        spread = (
-            alone.join(large, mine, "left_anti").unionByName(hot).repartition("key", "block")
-            .join(known, ["key", "block"], "left").sortWithinPartitions(*sort).select(*columns, "given", "edges")
-        )
+        second = looked(knowing(hot, known.drop("edges")), "known")
+        spread = knowing(alone.join(large, mine, "left_anti").unionByName(hot), known.drop("given").join(fitted(second), "key"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
             at, own, values = _arrays(group, names)
-            known, carried = fits(group.column("given")[0].as_py()), group.column("edges")[0].as_py() or []
+            known, carried = told(group)
             for k, (value, measure) in enumerate(zip(values, measures)):
                 r = _Readings(at, value, own, measure)
                 fit = known[k] if known else _fit_alone(r, measure, limits)
@@ -495,4 +503,4 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
                 if len(bad):
                     yield pa.RecordBatch.from_arrays([group.column("row").take(pa.array(bad)).combine_chunks(), pa.array([measure.name] * len(bad)), pa.array([_KINDS[k] for k in kind[bad]])], schema=_FLAGS)
 
-    return spread.mapInArrow(judge, "row bigint, measure string, kind string")
+    return spread.sortWithinPartitions(*sort).select(*columns, "known").mapInArrow(lambda batches: together(judge(batches)), "row bigint, measure string, kind string")
