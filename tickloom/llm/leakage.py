@@ -58,8 +58,7 @@ class Matching:
 
     A piece goes on across up to ``gap`` words of other matter; up to ``hole`` words of the passage
     beside or between phrases are looked up one by one. Of the letters of the words matched at most ``misread``
-    may be others than the passage's, easily confused with them. A passage is looked at closer if
-    ``least`` of its phrases are in the document. ``most`` bounds the words of all passages together that are
+    may be others than the passage's, easily confused with them. ``most`` bounds the words of all passages together that are
     sent to the blocks at once; more are done in turns. ``block`` is the number of characters of
     a block of pages.
     """
@@ -69,7 +68,6 @@ class Matching:
     gap: int = 80
     hole: int = 8
     misread: float = 0.15
-    least: float = 0.07
     most: int = 500_000
     block: int = 1_000_000
 
@@ -363,13 +361,11 @@ def _search(index: DataFrame, passages: _Passages, frequency: np.ndarray, m: Mat
             start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
             count = np.diff(np.r_[start, len(pair)])
             k = pair[start] % len(passages.items)
-            size = passages.sizes[k]
-            # a phrase cannot hold more than itself and the hole behind it
+            # a phrase cannot hold more than itself and the hole behind it, two pieces not more than three holes besides
             step = np.minimum(np.r_[np.diff(q), 0], distinct.shape[1] + m.hole)
-            step[np.r_[start[1:], len(q)] - 1] = distinct.shape[1] + 2 * m.hole
+            step[np.r_[start[1:], len(q)] - 1] = distinct.shape[1] + 3 * m.hole
             reach = np.add.reduceat(step, start)
-            length = passages.lengths[k]
-            for i in np.flatnonzero((reach >= m.share * length) & (count >= m.least * (length - size + 1))):
+            for i in np.flatnonzero(reach >= m.share * passages.lengths[k]):
                 some = slice(start[i], start[i] + count[i])
                 yield int(pair[start[i]] // len(passages.items)), int(k[i]), at[some] & ((1 << _AT) - 1), q[some]
 
