@@ -17,14 +17,14 @@ import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.skeleton import skeleton
+from tickloom.llm.skeleton import prototypes
 from tickloom.session import materialize
 
 _BREAK = re.compile(r"-[^\S\n]*\n\s*")
@@ -32,6 +32,8 @@ _WORD = re.compile(r"[^\W_]+")
 # Characters that print readers confuse, by one that stands for all of its group.
 _CONFUSED = str.maketrans("c0ovu1j58hqf", "eaarnlisbbgt")
 _JOINED = (("vv", "w"), ("rn", "m"), ("cl", "d"))
+#: Prototypes of characters, and no accents.
+_PLAIN = prototypes() | {c: None for c in range(0x300, 0x1_F000) if unicodedata.combining(chr(c))}
 #: Bits of a posting: term, page within its block, position within its page.
 _TERM, _PAGE, _AT = 20, 14, 28
 #: Postings intersected at once, to bound memory.
@@ -41,10 +43,11 @@ _AT_ONCE = 500_000
 def words(text: str) -> list[str]:
     """The words of a text without case, accents, punctuation and hyphen breaks."""
     if not text.isascii():
-        text = "".join(c for c in skeleton(text) if not unicodedata.combining(c))
+        text = unicodedata.normalize("NFD", text).translate(_PLAIN)
     return _WORD.findall(_BREAK.sub("", text.lower()))
 
 
+@lru_cache(1 << 18)
 def alike(word: str) -> str:
     """One form for the words that a print reader confuses."""
     for odd, usual in _JOINED:
@@ -181,21 +184,23 @@ class _Block:
         each = np.arange(len(distinct))
         begin, end = self.lists(distinct[each, order[:, 0]])
         n = end - begin
-        for k in range(1, distinct.shape[1]):  # a phrase with an empty list is nowhere
-            b, e = self.lists(distinct[each, order[:, k]])
-            n = np.where(e > b, n, 0)
+        # a posting of the rarest term plus this is the posting of another term that the phrase needs
+        needed = [(distinct[each, order[:, k]] << (_PAGE + _AT)) + order[:, k] - order[:, 0] for k in range(1, distinct.shape[1])]
+        mask = (1 << (_PAGE + _AT)) - 1
         out = []
         for part in np.split(each, np.flatnonzero(np.diff(np.cumsum(n) // _AT_ONCE)) + 1):
-            which = np.repeat(part, n[part])
-            entry = np.repeat(begin[part] - np.r_[0, np.cumsum(n[part])[:-1]], n[part]) + np.arange(n[part].sum())
-            where = self.keys[entry] & ((1 << (_PAGE + _AT)) - 1)
-            some = (where & ((1 << _AT) - 1)) >= order[which, 0]
-            which, where = which[some], where[some] - order[which[some], 0]
-            for k in range(1, distinct.shape[1]):
-                offset = order[which, k]
-                some = self.find(distinct[which, offset], where + offset) >= 0
-                which, where = which[some], where[some]
-            out.append((which, where))
+            upto = np.cumsum(n[part])
+            entry = np.repeat(begin[part] - upto + n[part], n[part]) + np.arange(upto[-1] if len(upto) else 0)
+            posting = self.keys[entry] & mask
+            which: np.ndarray | None = None
+            for base in needed:
+                wanted = posting + (np.repeat(base[part], n[part]) if which is None else base[which])
+                some = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted)
+                which = part[np.searchsorted(upto, some, side="right")] if which is None else which[some]
+                posting = posting[some]
+            if which is None:
+                which = np.repeat(part, n[part])
+            out.append((which, posting - order[which, 0]))
         which, where = (np.concatenate(x) for x in zip(*out))
         return which, where
 
