@@ -207,13 +207,13 @@ class _Block:
 
 def _runs(at: np.ndarray, place: np.ndarray, phrase: int, hole: int) -> list[tuple[int, int, int, int]]:
     """Phrases on one diagonal, close to each other, as ``(start, end, from, to)`` in document and passage."""
-    diagonal = at - place
-    order = np.lexsort((at, diagonal))
-    a, q, d = at[order], place[order], diagonal[order]
-    new = np.r_[True, (np.diff(d) != 0) | (np.diff(a) > phrase + hole)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(a)] - 1
-    return sorted(zip(a[first].tolist(), (a[last] + phrase).tolist(), q[first].tolist(), (q[last] + phrase).tolist()))
+    out: list[list[int]] = []
+    for d, a in sorted(zip((at - place).tolist(), at.tolist())):
+        if out and out[-1][2] == d and a - out[-1][1] <= hole:
+            out[-1][1] = a + phrase
+        else:
+            out.append([a, a + phrase, d])
+    return sorted((a, b, a - d, b - d) for a, b, d in out)
 
 
 def _best_chain(runs: list, gap: int) -> tuple[float, list[int]]:
