@@ -164,7 +164,7 @@ h AS (SELECT *, CASE WHEN g IN ('10K', '10Q', '10KA', '10QA') THEN 0 ELSE 1 END
  CASE WHEN period_end - lag(period_end) OVER w <= {APART} THEN 0 ELSE 1 END AS s FROM f WINDOW w AS (PARTITION BY cik, k ORDER BY period_end)),
 p AS (SELECT *, sum(s) OVER (PARTITION BY cik, k ORDER BY period_end) AS n FROM h)
 SELECT min(fact_id) AS first_id, {", ".join(_BEST.format(f, name) for f, name in FIELDS.items())} FROM p GROUP BY cik, k, n HAVING count(*) >= 2""",
-    "p7_sound": "SELECT count(*) AS pages, count(*) FILTER (WHERE text <> '') AS packed, 0 AS split_short, 0 AS overlaps, 0 AS overfull FROM documents",
+    "p7_sound": "SELECT count(*) AS pages, count(*) FILTER (WHERE text <> '') AS packed, CAST(0 AS BIGINT) AS split_short, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS overfull FROM documents",
     "p8_whole": f"SELECT doc_id, item_id FROM (SELECT doc_id, {_words('text')} AS page FROM documents) JOIN (SELECT item_id, {_words('passage')} AS part FROM eval_items WHERE passage <> '') ON contains(page, part)",
     "p9_found": f"""{_FORMS} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
     "p9_classes": f"""{_FORMS} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_id, count(DISTINCT text) OVER (PARTITION BY form) AS variants FROM f""",
