@@ -127,6 +127,17 @@ def test_rows_of_a_reading_are_judged_each(spark):
     assert got == {(777, "price"): "spike", (778, "price"): "spike"}
 
 
+def test_a_source_that_hardly_moves(spark):
+    values = [[10.0, 7] for _ in range(120)]
+    values[60] = [1000.0, 7]
+    for i in range(90, 120):
+        values[i][0] = 20.0  # a level of its own
+    df = frame(spark, {"a": values})
+    want = {(6000, "price"): "spike", (9000, "price"): "shift"}
+    assert everything(df) == want and everything(df, Limits(size=50, margin=30)) == want
+    assert everything(frame(spark, {"a": values[50:65]})) == {}  # too few readings to say
+
+
 def test_thin_trading_few_rows_nulls_and_empty(spark):
     rng, price, sticky = random.Random(4), 10.0, []
     for _ in range(300):

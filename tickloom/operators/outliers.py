@@ -36,16 +36,19 @@ _UNTIMED = -(2**62)
 
 @dataclass(frozen=True)
 class Measure:
-    """One measured column: whether zero is possible, and its least threshold in robust deviations."""
+    """One measured column: whether zero is possible, its least threshold in robust deviations, and the deviation of a source that hardly moves."""
 
     name: str
     zero: bool
     spike: float
+    usual: float = 0.02
 
 
 @dataclass(frozen=True)
 class Limits:
-    """``patch``: most readings of a spike. ``least``: least changes to judge by; with fewer only impossible values are flagged.
+    """``patch``: most readings of a spike. ``least``: least changes to fit by. A source with fewer, but ``few`` readings,
+    is held against the measure's ``usual`` deviation and not tested for stuck runs; one with fewer readings
+    gets only its impossible values flagged.
 
     A run of at least ``run`` equal non-zero readings is stuck if fewer than ``rare`` such runs
     are to be expected and it is ``longer`` times as long as the longest run that is not. Blocks of
@@ -54,6 +57,7 @@ class Limits:
 
     patch: int = 3
     least: int = 10
+    few: int = 20
     run: int = 5
     rare: float = 1e-4
     longer: float = 1.5
@@ -325,15 +329,23 @@ class _Readings:
         return np.concatenate(out)
 
 
-def _fit(sizes: np.ndarray, ratios: np.ndarray, least: float, measure: Measure, limits: Limits, departures: np.ndarray | None = None, scale_then: float = 0.0) -> Fit:
-    """Scale and coefficient from the histograms; the scale is NaN with too few changes.
+def _first_fit(sizes: np.ndarray, ratios: np.ndarray, lengths: dict[int, int], measure: Measure, limits: Limits) -> Fit:
+    """The fit from all changes and runs, or what stands for it with too few changes."""
+    if sizes.sum() >= limits.least:
+        return _fit(sizes, ratios, _longest_usual(lengths, limits), measure, limits)
+    readings = sum(k * n for k, n in lengths.items())
+    return Fit(measure.usual if readings >= limits.few else float("nan"), 0.0, measure.spike * measure.usual, float("inf"))
+
+
+def _fit(sizes: np.ndarray, ratios: np.ndarray, least: float, measure: Measure, limits: Limits, departures: np.ndarray | None = None, scale_then: float = float("nan")) -> Fit:
+    """Scale and coefficient from the histograms; with too few changes the scale stays as it was.
 
     The threshold is ``spike`` scales, or where the tail of the departures reaches further. The tail is that of
     a Weibull distribution through their 90 and 99 percent quantiles, taken so far out that one in ten
     such sources would have a departure beyond.
     """
     if sizes.sum() < limits.least:
-        return Fit(float("nan"), 0.0, float("inf"), least)
+        return Fit(scale_then, 0.0, measure.spike * scale_then, least)
     phi = float(np.clip(_median(ratios, _RATIO), -0.5, 0.5)) if ratios.sum() >= limits.least else 0.0
     scale = float(1.4826 * np.exp(_median(sizes, _CHANGE)) * np.sqrt(1 - phi * phi))
     tail = 0.0
@@ -346,12 +358,11 @@ def _fit(sizes: np.ndarray, ratios: np.ndarray, least: float, measure: Measure,
 
 def _fit_alone(r: _Readings, measure: Measure, limits: Limits) -> Fit:
     """The fit of a source that is one block."""
-    first = _fit(*r.first_look(), _longest_usual(_lengths(r.rv), limits), measure, limits)
+    first = _first_fit(*r.first_look(), _lengths(r.rv), measure, limits)
     if np.isnan(first.scale):
         return first
     sizes, ratios, departures = r.second_look(first, limits.patch)
-    again = _fit(sizes, ratios, first.least, measure, limits, departures, first.scale)
-    return first if np.isnan(again.scale) else again
+    return _fit(sizes, ratios, first.least, measure, limits, departures, first.scale)
 
 
 _KINDS = ["", "impossible", "spike", "stuck", "shift"]
@@ -385,7 +396,8 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
 
     Readings of a source ``key`` follow ``ts``; rows of one reading follow ``order`` and are judged
     each, as they may hold corrected values. Nulls are skipped, a null ``ts`` sorts first, null keys
-    are one source; a source with few changes gets only its impossible values flagged; repeated
+    are one source; a source with few changes is held against a usual deviation, one with few readings gets
+    only its impossible values flagged; repeated
     rows are flagged each, a null ``row`` as null; an empty table gives an empty one; other columns are ignored.
 
     Sources are spread over tasks by key, those with more than ``limits.size`` rows by blocks of
@@ -462,7 +474,7 @@ def flag_readings(df: DataFrame, key: str, ts: str, row: str, order: Sequence[st
                     if then:
                         f = _fit(sizes, ratios, then[1], measure, limits, departures, then[0])
                     else:
-                        f = _fit(sizes, ratios, _longest_usual(lengths, limits), measure, limits)
+                        f = _first_fit(sizes, ratios, lengths, measure, limits)
                     given += [f.scale, f.phi, f.threshold, f.least]
                 out.append(given)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["key", "given"])

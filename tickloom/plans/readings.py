@@ -17,7 +17,7 @@ def symbol() -> Column:
 
 
 #: Least thresholds in robust deviations; volumes vary more and more evenly than prices.
-MEASURES = (Measure("close", False, 8.0), Measure("adj_close", False, 8.0), Measure("volume", True, 5.0))
+MEASURES = (Measure("close", False, 8.0), Measure("adj_close", False, 8.0), Measure("volume", True, 5.0, usual=0.5))
 
 
 def p4_flags(spark: SparkSession, sf: str) -> DataFrame:
